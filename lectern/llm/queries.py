@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.exact_dedup import progressive_exact_dedup
+from lectern.llm.secrets import scan_secrets
+from lectern.llm.token_count import count_tokens
+from lectern.llm.wavelet import read_token_shards, write_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +35,24 @@ g AS (SELECT h, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GR
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.h AS text_sha256
 FROM d JOIN g ON d.h = g.h
 """
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_shards(write_token_shards(table(spark, sf_dir, "documents"), byte_bpe()))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), byte_bpe())
