@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm.exact_dedup import progressive_exact_dedup
 from lectern.llm.secrets import scan_secrets
+from lectern.llm.substring_dedup import remove_repeated_passages
 from lectern.llm.token_count import count_tokens
 from lectern.llm.wavelet import read_token_shards, write_token_shards
 
@@ -56,3 +58,22 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), byte_bpe())
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS a FROM d WHERE len(ws) >= 20),
+w AS (SELECT doc_id, a, row_number() OVER (PARTITION BY array_to_string(ws[a:a + 19], ' ') ORDER BY doc_id, a) AS n FROM s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, a + 20)) AS i FROM w WHERE n > 1),
+every AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS t FROM every e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id),
+lost AS (SELECT doc_id, count(*)::BIGINT AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(l.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN lost l ON d.doc_id = l.doc_id
+"""
