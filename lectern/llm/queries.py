@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.common import saved
+from lectern.llm.decontaminate import find_contamination
 from lectern.llm.exact_dedup import progressive_exact_dedup
+from lectern.llm.packing import pack_by_length
 from lectern.llm.secrets import scan_secrets
 from lectern.llm.substring_dedup import remove_repeated_passages
 from lectern.llm.token_count import count_tokens
@@ -77,3 +80,31 @@ lost AS (SELECT doc_id, count(*)::BIGINT AS n_removed FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(l.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN lost l ON d.doc_id = l.doc_id
 """
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, "contaminated")
+
+
+ORACLES["op7_decontaminate"] = r"""
+WITH lower AS (SELECT 'd' AS k, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT k, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lower),
+probe AS (SELECT id, unnest([array_to_string(ws[a:a + least(13, len(ws)) - 1], ' ') for a in range(1, greatest(1, len(ws) - 12) + 1)]) AS g, least(13, len(ws)) AS m FROM w WHERE k = 'b' AND len(ws) > 0),
+sizes AS (SELECT DISTINCT m FROM probe),
+spot AS (SELECT w.id, w.ws, s.m, unnest(range(1, len(w.ws) - s.m + 2)) AS a FROM w, sizes s WHERE w.k = 'd' AND len(w.ws) >= s.m),
+found AS (SELECT s.id, s.a, s.m, p.id AS item FROM spot s JOIN (SELECT DISTINCT id, g, m FROM probe) p ON s.m = p.m AND array_to_string(s.ws[s.a:s.a + s.m - 1], ' ') = p.g),
+hit AS (SELECT id, count(DISTINCT i)::BIGINT AS n FROM (SELECT id, unnest(range(a, a + m)) AS i FROM found) GROUP BY id),
+item AS (SELECT id, count(*)::BIGINT AS n, string_agg(item::VARCHAR, ',' ORDER BY item::VARCHAR) AS l FROM (SELECT DISTINCT id, item FROM found) GROUP BY id)
+SELECT w.id AS doc_id, len(w.ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(item.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(item.l, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w.ws) AS contaminated
+FROM w LEFT JOIN hit ON w.id = hit.id LEFT JOIN item ON w.id = item.id WHERE w.k = 'd'
+"""
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_length(saved(count_tokens(table(spark, sf_dir, "documents"), byte_bpe()), "lengths"))
