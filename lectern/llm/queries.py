@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from lectern.llm.common import saved
 from lectern.llm.decontaminate import find_contamination
 from lectern.llm.exact_dedup import progressive_exact_dedup
+from lectern.llm.near_dedup import near_duplicates
 from lectern.llm.packing import pack_by_length
+from lectern.llm.quality import score_quality, train_quality
 from lectern.llm.secrets import scan_secrets
 from lectern.llm.substring_dedup import remove_repeated_passages
 from lectern.llm.token_count import count_tokens
+from lectern.llm.toxicity import score_toxicity, train_toxicity
 from lectern.llm.wavelet import read_token_shards, write_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +111,33 @@ FROM w LEFT JOIN hit ON w.id = hit.id LEFT JOIN item ON w.id = item.id WHERE w.k
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_length(saved(count_tokens(table(spark, sf_dir, "documents"), byte_bpe()), "lengths"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest([array_to_string(ws[a:a + 4], ' ') for a in range(1, greatest(1, len(ws) - 4) + 1)]) AS g FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 75 * (p.n + q.n - i)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""
