@@ -152,3 +152,17 @@ def with_member(df: DataFrame, slots: DataFrame, slot: Column, name: str) -> Dat
     byte = F.conv(F.hex(F.substring(F.col(f"_bits_{name}"), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (p % 8).cast("int")) == 1, F.lit(False))
     return df.withColumn(s, slot).join(F.broadcast(held), F.bitmap_bucket_number(F.col(s)) == F.col(f"_bucket_{name}"), "left").withColumn(name, hit).drop(s, f"_bucket_{name}", f"_bits_{name}")
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not among those of ``dropped`` (one column, ``doc_id``), all columns kept.
+
+    A bitmap of fixed size lets most rows through where they are; only rows that share a slot with a
+    dropped id are shuffled and joined. Null ids compare equal.
+    """
+    gone = dropped.select(F.col("doc_id").alias("_gone"))
+    slots = bitmap(gone.select(slot_of(F.col("_gone")).alias("_s")), "_s")
+    asked = with_member(docs, slots, slot_of(F.col(id_col).cast("long")), "_maybe")
+    clear = asked.where(~F.col("_maybe")).drop("_maybe")
+    rest = asked.where("_maybe").drop("_maybe").join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return clear.unionByName(rest)

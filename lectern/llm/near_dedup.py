@@ -90,7 +90,7 @@ def _regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(region=pa.array(np.concatenate(keys)), node=pa.array(np.tile(nodes, TREES)))
 
 
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterable[pa.RecordBatch], tile_docs: int) -> Iterator[pa.RecordBatch]:
     """The regions of one partition that have several members, named after the set of members, so that orders which
     agree on a region give it the same name. Regions too large for one tile become tiles of two of their parts."""
     held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -105,13 +105,13 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scrambled = window_hashes(node.astype(np.uint64), 1)
     name = np.add.reduceat(scrambled, first).view(np.int64)
     several = size > 1
-    small = several & (size <= 2 * TILE_DOCS)
+    small = several & (size <= 2 * tile_docs)
     take = np.repeat(small, size)
     if take.any():
         yield batch(tile=pa.array(np.repeat(name[small], size[small])), node=pa.array(node[take]))
     for i in np.flatnonzero(several & ~small).tolist():
         members = node[first[i] : first[i] + size[i]]
-        parts = np.array_split(members, -(-len(members) // TILE_DOCS))
+        parts = np.array_split(members, -(-len(members) // tile_docs))
         for a in range(len(parts)):
             for z in range(a + 1, len(parts)):
                 both = np.concatenate([parts[a], parts[z]])
@@ -197,7 +197,7 @@ def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(edges)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile_docs: int = TILE_DOCS) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Two documents are linked if the Jaccard similarity of their sets of word 5-grams (A-Z in lower
@@ -221,13 +221,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sketch.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("sign").alias("sign"))
     classes = saved(classes, "classes")
     regions = map_arrow(classes.select("node", "sign"), _regions, "region long, node long")
-    tiles = map_arrow(regions.repartition("region"), _shared, "tile long, node long").distinct()
+    tiles = map_arrow(regions.repartition("region"), lambda batches: _shared(batches, tile_docs), "tile long, node long").distinct()
     low_byte = map_arrow(classes.select(F.col("node").alias("of"), "sign"), _low_bytes, "of long, bytes binary").dropDuplicates(["of"])
     tiles = tiles.join(low_byte, F.col("node") == F.col("of")).select("tile", "node", "bytes")
     proposed = map_arrow(tiles.repartition("tile").sortWithinPartitions("tile"), _proposed, "a long, b long")
     clusters = components(proposed).select("node", F.col("component").alias("cluster"))
     clusters = saved(clusters.join(classes.select(F.col("node").alias("of"), "n", "digest"), F.col("node") == F.col("of")).drop("of"), "clusters")
-    parts = clusters.groupBy(F.col("cluster").alias("of")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / (2 * TILE_DOCS)), F.ceil(F.sum("n") / (2 * TILE_SHINGLES)), F.lit(1)).cast("int").alias("some"))
+    parts = clusters.groupBy(F.col("cluster").alias("of")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / (2 * tile_docs)), F.ceil(F.sum("n") / (2 * TILE_SHINGLES)), F.lit(1)).cast("int").alias("some"))
     # A cluster that fits one tile is one part; otherwise parts are half a tile, so that any two fit.
     parts = parts.select("of", F.when(F.col("some") > 1, F.col("some") * 2).otherwise(1).alias("parts"))
     asked = clusters.join(parts, F.col("cluster") == F.col("of")).drop("of", "n")
