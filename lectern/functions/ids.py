@@ -77,7 +77,7 @@ def redact_url(c: Column) -> Column:
 
 def largest_in_srcset(c: Column) -> Column:
     """The candidate of the largest width, or density times 1000; of equal ones the last."""
-    parts = F.transform(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""), lambda x, i: F.struct(_score(x).alias("s"), i.alias("i"), F.split(x, "[ \t\n]+")[0].alias("u")))
+    parts = F.transform(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x, i: F.struct(_score(x).alias("s"), i.alias("i"), F.split(x, "[ \t\n]+")[0].alias("u")))
     return F.array_max(parts)["u"]
 
 
@@ -120,7 +120,7 @@ def backoff_seconds(base: Column, attempt: Column) -> Column:
 
 def citation_numbers(c: Column) -> Column:
     """``1,3-5`` as ``1, 3–5``; null unless all items are numbers or ranges."""
-    items = F.transform(F.split(F.translate(normalize_text(c), "−—-", "–––"), ","), F.trim)
+    items = F.transform(F.split(F.translate(normalize_text(c), "−—-", "–––"), ","), lambda x: F.trim(x))
     good = F.forall(items, lambda x: x.rlike("^[0-9]+[a-z]?( ?– ?[0-9]+[a-z]?)?$"))
     return F.when(good, F.array_join(F.transform(items, lambda x: F.regexp_replace(x, " ?– ?", "–")), ", "))
 

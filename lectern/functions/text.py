@@ -66,7 +66,7 @@ def author_name(c: Column) -> Column:
 
 def author_key(c: Column) -> Column:
     """``Last, First`` and ``First Last`` get the same key."""
-    parts = F.filter(F.transform(F.split(author_name(c), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(author_name(c), ","), lambda x: F.trim(x)), lambda x: x != "")
     turned = F.when(F.size(parts) >= 2, F.concat_ws(" ", F.concat(F.slice(parts, 2, F.size(parts) - 1), F.slice(parts, 1, 1)))).otherwise(author_name(c))
     return F.trim(F.regexp_replace(F.lower(turned), "[^a-z0-9]+", " "))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,14 +28,18 @@ def merge_layers(layers: DataFrame, key: str, rank: str, fill: Sequence[str] = (
     some = lambda f: F.when(strip(F.col(f).cast("string")) != "", F.col(f))
     aggs = [F.min_by(F.col(f), F.when(some(f).isNotNull(), F.col(rank))).alias(f) for f in fill]
     aggs += [F.max_by(F.col(f), F.when(some(f).isNotNull(), F.col(rank))).alias(f) for f in overwrite]
-    joined = [F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(rank, f))), lambda x, f=f: x[f])).alias(f) for f in concat]
+    joined = [F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(rank, f))), _field(f))).alias(f) for f in concat]
     out = layers.groupBy(key).agg(*aggs, *joined)
     for f in concat:
         out = out.withColumn(f, distinct_by_key(F.col(f), lambda x: F.lower(normalize_text(x))))
     return out
 
 
-def distinct_by_key(values: Column, key) -> Column:
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x[name]
+
+
+def distinct_by_key(values: Column, key: Callable[[Column], Column]) -> Column:
     """Array values whose key is not empty and was not seen before, in order."""
     keep = F.transform(values, lambda x: F.struct(key(x).alias("k"), x.alias("v")))
     first = F.filter(keep, lambda x, i: (x["k"] != "") & ~F.exists(F.slice(keep, F.lit(1), i), lambda y: y["k"] == x["k"]))

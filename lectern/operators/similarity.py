@@ -110,3 +110,17 @@ def shared_head(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
     a = docs.select("doc_id", key(F.col("text")).alias("w")).where(F.size("w") >= words).select("doc_id", F.array_join(F.slice("w", 1, words), " ").alias("head"))
     b = items.select("item_id", key(F.col("text")).alias("w")).where(F.size("w") >= words).select("item_id", F.array_join(F.slice("w", 1, words), " ").alias("head"))
     return a.join(b, "head").select("doc_id", "item_id")
+
+
+def rare_word_pairs(rows: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """``left_id, right_id, left_t, right_t, score``: pairs that share a word found in at most ``most`` rows, with their Jaccard similarity.
+
+    Frequent words block nothing, so no group of the join is larger than ``most``.
+    """
+    words = rows.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.filter(F.split(text, " "), lambda x: x != ""))).alias("w"))
+    rare = words.groupBy("w").count().where(F.col("count").between(2, most)).select("w")
+    held = words.join(rare, "w")
+    pairs = held.select("w", F.col("id").alias("left_id")).join(held.select("w", F.col("id").alias("right_id")), "w").where("left_id < right_id").select("left_id", "right_id").distinct()
+    side = lambda name: rows.select(F.col(key).alias(f"{name}_id"), F.col(text).alias(f"{name}_t"))
+    out = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    return out.withColumn("score", token_jaccard(F.col("left_t"), F.col("right_t")))
