@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -23,15 +25,29 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 class _Memo(dict):
     """Piece to number; a piece not seen before gets the next number and is put down as pending."""
 
-    def __init__(self) -> None:
+    def __init__(self, number: Iterator[int]) -> None:
         super().__init__()
-        self.pending: list = []
+        self.number = number
+        self.pending: list[tuple[int, str]] = []
 
-    def __missing__(self, piece) -> int:
-        self[piece] = n = len(self)
-        self.pending.append(piece)
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = next(self.number)
+        self.pending.append((n, piece))
         return n
 
+    def taken(self) -> list[tuple[int, str]]:
+        out, self.pending = self.pending, []
+        return out
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array itself if it has ``n`` places, else one at least twice as long that begins with it."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
 
 class Encoder:
     """Ids exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
@@ -63,8 +79,12 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo = _Memo()
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        number = itertools.count()
+        #: Pieces after a space, and pieces at the head of a text.
+        self.inner, self.heads = _Memo(number), _Memo(number)
+        # Ids of all pieces one after another, where each piece begins and how many it has; the arrays have room to grow.
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -78,24 +98,25 @@ class Encoder:
         if not self.pieces:
             out = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
             return np.concatenate([*out, np.zeros(0, np.uint32)]).astype(np.uint32), np.array([len(x) for x in out], np.int64)
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.inner) + len(self.heads) > MEMO_PIECES:
             self._forget()
-        look = self.memo.__getitem__
+        look, head = self.inner.__getitem__, self.heads.__getitem__
         numbers: list[int] = []
         ends, odd = [], {}
         for i, text in enumerate(texts):
             if self.safe(text):
                 first, *rest = text.split(" ")
-                numbers.append(look((first,)))
+                numbers.append(head(first))
                 numbers.extend(map(look, rest))
             else:
                 odd[i] = self.whole(text)
             ends.append(len(numbers))
         self._learn()
         at = np.array(numbers, np.int64)
-        lens = np.diff(self.starts)[at] if len(at) else np.zeros(0, np.int64)
+        begin, lens = self.begin[at], self.size[at]
         upto = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.ids[np.repeat(self.starts[at] - upto[:-1], lens) + np.arange(upto[-1])] if len(at) else np.zeros(0, np.uint32)
+        begin -= upto[:-1]
+        ids = self.ids[np.repeat(begin, lens) + np.arange(upto[-1])]
         bounds = upto[np.array([0, *ends], np.int64)]
         counts = np.diff(bounds)
         if odd:
@@ -104,37 +125,34 @@ class Encoder:
         return ids, counts
 
     def _learn(self) -> None:
-        """Encode the pending pieces, in the order of their numbers."""
-        pending, self.memo.pending = self.memo.pending, []
-        if not pending:
-            return
-        found: list[np.ndarray | None] = [None] * len(pending)
-        alone, joined = [], []
-        for k, piece in enumerate(pending):
-            if isinstance(piece, tuple) or piece.split() != [piece]:
-                alone.append(k)
-            else:
-                joined.append(k)
-        for j in range(0, len(joined), _JOIN):
-            some = joined[j : j + _JOIN]
-            chunks = [" " + pending[k] for k in some]
-            ids = self.whole("".join(chunks))
+        """Encode the pending pieces."""
+        inner, alone = self.inner.taken(), self.heads.taken()
+        top = max([-1, *(n for n, _ in inner[-1:]), *(n for n, _ in alone[-1:])]) + 1
+        self.begin, self.size = _room(self.begin, top), _room(self.size, top)
+        # A piece has no space; one that cannot be printed may hold other white space and is not joined with others.
+        plain = [x for x in inner if x[1].isprintable() and x[1]]
+        alone += [(n, " " + p) for n, p in inner if not (p.isprintable() and p)]
+        for j in range(0, len(plain), _JOIN):
+            some = plain[j : j + _JOIN]
+            ids = self.whole(" " + " ".join([p for _, p in some]))
             ends = np.cumsum(self.token_bytes[ids])
-            want = np.cumsum([len(c.encode()) for c in chunks])
+            want = np.cumsum([len(p.encode()) + 1 for _, p in some])
             cut = np.searchsorted(ends, want)
             if len(ends) and cut[-1] < len(ends) and np.array_equal(ends[cut], want):
-                for k, x in zip(some, np.split(ids, cut[:-1] + 1), strict=True):
-                    found[k] = x
+                self._keep([n for n, _ in some], ids, np.diff(cut, prepend=-1))
             else:
-                alone.extend(some)
+                alone += [(n, " " + p) for n, p in some]
         for j in range(0, len(alone), _JOIN):
             some = alone[j : j + _JOIN]
-            chunks = [pending[k][0] if isinstance(pending[k], tuple) else " " + pending[k] for k in some]
-            for k, e in zip(some, self.library.encode_batch(chunks, add_special_tokens=False), strict=True):
-                found[k] = np.array(e.ids, np.uint32)
-        lens = np.array([len(x) for x in found], np.int64)
-        self.ids = np.concatenate([self.ids, *found]).astype(np.uint32)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
+            lists = [e.ids for e in self.library.encode_batch([p for _, p in some], add_special_tokens=False)]
+            self._keep([n for n, _ in some], np.array(list(itertools.chain.from_iterable(lists)), np.uint32), np.array(list(map(len, lists)), np.int64))
+
+    def _keep(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = np.array(numbers, np.int64)
+        self.ids = _room(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
 
     def resync(self, text: str, window: int = WINDOW_CHARS, overlap: int = OVERLAP_CHARS) -> np.ndarray:
         """Ids of a huge text from overlapping windows.
