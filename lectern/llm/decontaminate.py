@@ -174,6 +174,8 @@ def _search(shared, last: bool, one_in: int):
 
 
 def _grouped(sorted_keys: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    if not len(sorted_keys):
+        return [], [], []
     cut = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
     return sorted_keys[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(sorted_keys)]
 
