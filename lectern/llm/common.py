@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
+from lectern.sources.shipping import ship
+
 #: Slots of a fixed-size bitmap: a whole number of 32,768-slot buckets, 1 MB in all.
 BITMAP_SLOTS = 1 << 23
 _BUCKET = 32_768
@@ -47,18 +45,6 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, unless PYTHONPATH already does."""
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(spark, "_lectern_shipped", False):
-        return
-    out = Path(tempfile.mkdtemp(prefix="lectern-zip-")) / "lectern_code.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted((ROOT / "lectern").rglob("*.py")):
-            z.write(p, p.relative_to(ROOT))
-    spark.sparkContext.addPyFile(str(out))
-    spark._lectern_shipped = True
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` and ``text``, whatever else the input has; a null text becomes empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -158,11 +144,12 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     """The rows of ``docs`` whose id is not among those of ``dropped`` (one column, ``doc_id``), all columns kept.
 
     A bitmap of fixed size lets most rows through where they are; only rows that share a slot with a
-    dropped id are shuffled and joined. Null ids compare equal.
+    dropped id are shuffled and joined. Null ids compare equal. Columns travel in a struct, so that
+    none can clash with a helper column.
     """
     gone = dropped.select(F.col("doc_id").alias("_gone"))
     slots = bitmap(gone.select(slot_of(F.col("_gone")).alias("_s")), "_s")
-    asked = with_member(docs, slots, slot_of(F.col(id_col).cast("long")), "_maybe")
-    clear = asked.where(~F.col("_maybe")).drop("_maybe")
-    rest = asked.where("_maybe").drop("_maybe").join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    return clear.unionByName(rest)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    asked = with_member(rows, slots, slot_of(F.col("_id")), "_maybe")
+    rest = asked.where("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return asked.where(~F.col("_maybe")).select("_row.*").unionByName(rest.select("_row.*"))
