@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import title_key
-from lectern.operators import html, markup, merge, references, similarity, tables
+from lectern.operators import abstracts, html, markup, merge, publisher_xml, references, scripts, similarity, tables
 from lectern.plans.registry import query, table
 from lectern.sources.shipping import ship
 
@@ -169,3 +169,38 @@ def citations_to_sup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\[[0-9]+"))
     return rows.select("doc_id", markup.arrow(markup.citations_to_sup, "string")(F.col("text")).alias("text"))
+
+
+PUBLISHER_ARTICLE = '<r xmlns:ce="u"><ce:title>On x</ce:title><ce:doi>10.1/A</ce:doi><ce:author><ce:given-name>Ann</ce:given-name><ce:surname>Doe</ce:surname></ce:author><ce:body><ce:sections><ce:section><ce:section-title>Intro</ce:section-title><ce:para>Text.</ce:para></ce:section></ce:sections></ce:body></r>'
+
+
+@query("""SELECT 1 AS id, 'On x' AS title, '10.1/a' AS doi, 'Ann Doe' AS authors, '## Intro' || chr(10) || chr(10) || 'Text.' AS markdown""")
+def publisher_xml_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = spark.createDataFrame([(1, PUBLISHER_ARTICLE)], "id int, xml string").withColumn("a", markup.structs(publisher_xml.article, publisher_xml.ARTICLE)(F.col("xml")))
+    return rows.select("id", "a.title", "a.doi", F.array_join("a.authors", ",").alias("authors"), "a.markdown")
+
+
+CALS = '<t><colspec colname="a"/><colspec colname="b"/><thead><row><entry namest="a" nameend="b">H</entry></row></thead><tbody><row><entry>1</entry><entry>2</entry></row></tbody></t>'
+
+
+@query("""SELECT * FROM (VALUES (1, 0, 0, 'H', false), (1, 0, 1, 'H', false), (1, 1, 0, '1', false), (1, 1, 1, '2', false)) t(id, "row", col, text, lossy)""")
+def cals_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = spark.createDataFrame([(1, CALS)], "id int, xml string").withColumn("g", markup.structs(publisher_xml.cals_grid, publisher_xml.GRID)(F.col("xml")))
+    return rows.select("id", F.explode("g.cells").alias("c"), "g.lossy").select("id", "c.row", "c.col", "c.text", "lossy")
+
+
+@query("""SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, 0::BIGINT AS n_authors FROM pages""")
+def page_script_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    names = markup.arrow(lambda page: len(scripts.linked_authors(page)), "long")
+    lang = markup.arrow(publisher_xml.language_hint, "string")(F.regexp_extract("html", '<html lang="([a-z]+)"', 1))
+    return table(spark, sf_dir, "pages").select("page_id", lang.alias("lang"), names(F.col("html")).alias("n_authors"))
+
+
+@query("""SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'system' GROUP BY conv_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g')""")
+def distinct_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = table(spark, sf_dir, "conversations").where("role = 'system'")
+    return abstracts.distinct_abstracts(rows, "conv_id", "turn", "text").select("conv_id", "turn")
