@@ -55,10 +55,10 @@ def trail_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.trail(table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase")), "user_id", ["ts", "event_id"], "event_type")
 
 
-@query("""WITH r AS (SELECT user_id, event_type, event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 9 END AS p FROM events WHERE event_id % 50 = user_id % 50)
+@query("""WITH r AS (SELECT user_id, event_type, event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 9 END AS p FROM events)
 SELECT user_id, arg_min(event_type, p::BIGINT * 1000000000 + event_id) AS event_type, string_agg(event_type, '; ' ORDER BY event_id) AS messages FROM r GROUP BY user_id""")
 def worst_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id % 50 = user_id % 50").withColumn("said", F.col("event_type"))
+    rows = table(spark, sf_dir, "events").withColumn("said", F.col("event_type"))
     return reports.worst_failure(rows, "user_id", "event_type", {"error": 0, "signup": 1}, "said", "event_id")
 
 
@@ -145,22 +145,22 @@ def route_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT page_id, 'example' AS provider, 1 AS rank, 'domain' AS signal FROM pages WHERE ends_with({sql_host('url')}, 'example.com')
-UNION ALL SELECT page_id, 'example', 2, 'publisher' FROM pages UNION ALL SELECT page_id, 'other', 3, 'doi' FROM pages WHERE page_id % 2 = 0),
+UNION ALL SELECT page_id, 'example', 2, 'publisher' FROM pages UNION ALL SELECT page_id, 'other', 3, 'doi' FROM pages WHERE contains(html, 'lang="en"')),
 u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY page_id, provider ORDER BY rank) = 1)
 SELECT page_id, provider, signal, row_number() OVER (PARTITION BY page_id ORDER BY rank) AS place FROM u""")
 def route_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.functions.ids import host
 
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    p = table(spark, sf_dir, "pages")
     one = lambda rows, name, rank, signal: rows.select("page_id", F.lit(name).alias("provider"), F.lit(rank).alias("rank"), F.lit(signal).alias("signal"))
-    signals = one(p.where(F.endswith(host(F.col("url")), F.lit("example.com"))), "example", 1, "domain").unionByName(one(p, "example", 2, "publisher")).unionByName(one(p.where("page_id % 2 = 0"), "other", 3, "doi"))
+    signals = one(p.where(F.endswith(host(F.col("url")), F.lit("example.com"))), "example", 1, "domain").unionByName(one(p, "example", 2, "publisher")).unionByName(one(p.where(F.contains("html", F.lit('lang="en"'))), "other", 3, "doi"))
     return routing.candidates(signals, "page_id").select("page_id", "provider", "signal", "place")
 
 
-@query(f"""WITH d AS (SELECT source, doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS lang, md5({sql_normalize('text')}) AS h FROM documents)
+@query(f"""WITH d AS (SELECT source, doc_id, n_chars, CASE WHEN lang = 'fr' THEN '' ELSE lang END AS lang, md5({sql_normalize('text')}) AS h FROM documents)
 SELECT source, h, min(doc_id) AS doc_id, arg_min(lang, doc_id) FILTER (lang <> '') AS lang FROM d GROUP BY source, h""")
 def merge_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.functions.text import normalize_text
 
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("lang"), F.md5(normalize_text(F.col("text")).cast("binary")).alias("h"))
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("lang") == "fr", "").otherwise(F.col("lang")).alias("lang"), F.md5(normalize_text(F.col("text")).cast("binary")).alias("h"))
     return merge.merge_by_identity(rows, ["source"], "h", "doc_id", ["lang"])

@@ -97,11 +97,10 @@ def semantic_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.shared_head(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 12)
 
 
-@query(r"""SELECT doc_id, substr(sha1(source || '/' || doc_id), 1, 8) AS digest, regexp_replace(regexp_replace(regexp_replace(left(text, 60), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS name FROM documents
-WHERE regexp_replace(left(text, 60), '[^A-Za-z0-9]+', '', 'g') <> ''""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(source || '/' || lang || '  ' || doc_id || '.md', '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g') AS name, substr(sha1(text), 1, 8) AS digest FROM documents""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.regexp_replace(F.left("text", F.lit(60)), "[^A-Za-z0-9]+", "") != "")
-    return rows.select("doc_id", F.left(F.sha1(F.concat_ws("/", "source", F.col("doc_id").cast("string")).cast("binary")), F.lit(8)).alias("digest"), text.safe_filename(F.left("text", F.lit(60))).alias("name"))
+    named = F.concat("source", F.lit("/"), "lang", F.lit("  "), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.safe_filename(named).alias("name"), F.left(F.sha1(F.col("text").cast("binary")), F.lit(8)).alias("digest"))
 
 
 @query(r"""SELECT doc_id, lower(regexp_extract(text, '(10\.[0-9]{4,9}/[^\s"''<>]+)', 1)) AS raw_doi, len(regexp_extract_all(text, '\b(?:19|20)[0-9]{2}\b'))::BIGINT AS years FROM documents""")
