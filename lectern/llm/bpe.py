@@ -7,7 +7,6 @@ import itertools
 import json
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 
@@ -17,28 +16,25 @@ MEMO_PIECES = 1_000_000
 WINDOW_CHARS = 16_384
 OVERLAP_CHARS = 512
 #: Unknown pieces that one call of the library gets at once.
-_JOIN = 512
+_JOIN = 1024
 _INNER = re.compile(r"\s \s")
+#: Words of letters that are letters in any version of Unicode, and a mark.
+_MARKED = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Memo(dict):
     """Piece to number; a piece not seen before gets the next number and is put down as pending."""
 
-    def __init__(self, number: Iterator[int]) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.number = number
-        self.pending: list[tuple[int, str]] = []
+        self.pending: list[str] = []
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = n = next(self.number)
-        self.pending.append((n, piece))
+        self[piece] = n = len(self)
+        self.pending.append(piece)
         return n
 
-    def taken(self) -> list[tuple[int, str]]:
-        out, self.pending = self.pending, []
-        return out
-
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     """The array itself if it has ``n`` places, else one at least twice as long that begins with it."""
@@ -76,18 +72,18 @@ class Encoder:
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.token_bytes[i] = len(token.encode()) if token in self.added else len(token)
+        self.marks = {m: int(self.whole(m)[0]) for m in ".,"} if self.pieces else {}
         self._forget()
 
     def _forget(self) -> None:
-        number = itertools.count()
-        #: Pieces after a space, and pieces at the head of a text.
-        self.inner, self.heads = _Memo(number), _Memo(number)
+        #: Pieces between spaces; the piece at the head of a text, which no space goes before, has one put in front here.
+        self.memo = _Memo()
         # Ids of all pieces one after another, where each piece begins and how many it has; the arrays have room to grow.
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def safe(self, text: str) -> bool:
         """Whether the text can be cut at its spaces."""
@@ -96,27 +92,24 @@ class Encoder:
     def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text after another, and the number of ids of each text."""
         if not self.pieces:
-            out = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            out = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate([*out, np.zeros(0, np.uint32)]).astype(np.uint32), np.array([len(x) for x in out], np.int64)
-        if len(self.inner) + len(self.heads) > MEMO_PIECES:
+        if len(self.memo) > MEMO_PIECES:
             self._forget()
-        look, head = self.inner.__getitem__, self.heads.__getitem__
+        look = self.memo.__getitem__
         numbers: list[int] = []
         ends, odd = [], {}
         for i, text in enumerate(texts):
             if self.safe(text):
-                first, *rest = text.split(" ")
-                numbers.append(head(first))
-                numbers.extend(map(look, rest))
+                pieces = text.split(" ")
+                pieces[0] = " " + pieces[0]
+                numbers.extend(map(look, pieces))
             else:
                 odd[i] = self.whole(text)
             ends.append(len(numbers))
         self._learn()
         at = np.array(numbers, np.int64)
-        begin, lens = self.begin[at], self.size[at]
-        upto = np.concatenate([[0], np.cumsum(lens)])
-        begin -= upto[:-1]
-        ids = self.ids[np.repeat(begin, lens) + np.arange(upto[-1])]
+        ids, upto = self._take(at), np.concatenate([[0], np.cumsum(self.size[at])])
         bounds = upto[np.array([0, *ends], np.int64)]
         counts = np.diff(bounds)
         if odd:
@@ -125,30 +118,54 @@ class Encoder:
         return ids, counts
 
     def _learn(self) -> None:
-        """Encode the pending pieces."""
-        inner, alone = self.inner.taken(), self.heads.taken()
-        top = max([-1, *(n for n, _ in inner[-1:]), *(n for n, _ in alone[-1:])]) + 1
-        self.begin, self.size = _room(self.begin, top), _room(self.size, top)
-        # A piece has no space; one that cannot be printed may hold other white space and is not joined with others.
-        plain = [x for x in inner if x[1].isprintable() and x[1]]
-        alone += [(n, " " + p) for n, p in inner if not (p.isprintable() and p)]
+        """Encode the pending pieces, whose numbers end with the last one given."""
+        pending, self.memo.pending = self.memo.pending, []
+        base = len(self.memo) - len(pending)
+        # A word with a mark behind it is the word and then the mark: two pre-tokens in any context.
+        marked = [i for i, p in enumerate(pending) if _MARKED.fullmatch(p)]
+        stems = np.array([self.memo[pending[i][:-1]] for i in marked], np.int64)
+        marks = np.array([self.marks[pending[i][-1]] for i in marked], np.uint32)
+        pending, self.memo.pending = pending + self.memo.pending, []
+        self.begin, self.size = _room(self.begin, len(self.memo)), _room(self.size, len(self.memo))
+        # One that cannot be printed may hold other white space; it is not joined with others, nor are heads and empty ones.
+        plain = np.fromiter((p.isprintable() and p[:1] not in ("", " ") for p in pending), bool, len(pending))
+        whole = np.ones(len(pending), bool)
+        whole[marked] = False
+        alone = np.flatnonzero(~plain & whole).tolist()
+        plain = np.flatnonzero(plain & whole)
         for j in range(0, len(plain), _JOIN):
             some = plain[j : j + _JOIN]
-            ids = self.whole(" " + " ".join([p for _, p in some]))
+            text = " " + " ".join([pending[i] for i in some.tolist()])
+            ids = self.whole(text)
             ends = np.cumsum(self.token_bytes[ids])
-            want = np.cumsum([len(p.encode()) + 1 for _, p in some])
+            raw = np.frombuffer(text.encode(), np.uint8)
+            want = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
             cut = np.searchsorted(ends, want)
             if len(ends) and cut[-1] < len(ends) and np.array_equal(ends[cut], want):
-                self._keep([n for n, _ in some], ids, np.diff(cut, prepend=-1))
+                self._keep(base + some, ids, np.diff(cut, prepend=-1))
             else:
-                alone += [(n, " " + p) for n, p in some]
+                alone += some.tolist()
         for j in range(0, len(alone), _JOIN):
             some = alone[j : j + _JOIN]
-            lists = [e.ids for e in self.library.encode_batch([p for _, p in some], add_special_tokens=False)]
-            self._keep([n for n, _ in some], np.array(list(itertools.chain.from_iterable(lists)), np.uint32), np.array(list(map(len, lists)), np.int64))
-
-    def _keep(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        at = np.array(numbers, np.int64)
+            texts = [pending[i][1:] if pending[i][:1] == " " else " " + pending[i] for i in some]
+            lists = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            self._keep(base + np.array(some), np.array(list(itertools.chain.from_iterable(lists)), np.uint32), np.array(list(map(len, lists)), np.int64))
+        if marked:
+            n = self.size[stems]
+            ends = np.cumsum(n + 1)
+            out, place = np.empty(int(ends[-1]), np.uint32), np.ones(int(ends[-1]), bool)
+            place[ends - 1] = False
+            out[place] = self._take(stems)
+            out[~place] = marks
+            self._keep(base + np.array(marked), out, n + 1)
+
+    def _take(self, at: np.ndarray) -> np.ndarray:
+        """The ids of numbered pieces, one after another."""
+        n = self.size[at]
+        upto = np.cumsum(n)
+        return self.ids[np.repeat(self.begin[at] - upto + n, n) + np.arange(int(n.sum()))]
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.ids = _room(self.ids, self.used + len(ids))
         self.ids[self.used : self.used + len(ids)] = ids
         self.begin[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
