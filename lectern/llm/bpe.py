@@ -10,6 +10,8 @@ import re
 
 import numpy as np
 
+from lectern.llm.common import MEMOS
+
 #: Pieces remembered by one Python worker before it starts afresh (about 200 MB).
 MEMO_PIECES = 1_000_000
 #: Characters of one window of a huge text, and by how much two windows overlap at first.
@@ -209,3 +211,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each tokenizer file and Python worker."""
     return Encoder(path)
+
+
+MEMOS[__name__] = encoder.cache_clear

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -50,9 +52,34 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: What operators remember between the tasks of one Python worker: name to a function that forgets it.
+MEMOS: dict[str, Callable[[], None]] = {}
+_last: str | None = None
+
+
+def enter(name: str) -> None:
+    """A worker serves one operator after another: what the last one remembered goes, and free memory is given back."""
+    global _last
+    if _last != name:
+        for forget in MEMOS.values():
+            forget()
+        gc.collect()
+        _last = name
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    name = f.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(name)
+        yield from f(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def batch(**columns: pa.Array) -> pa.RecordBatch:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batch, blocks, map_arrow, texts
+from lectern.llm.common import MEMOS, batch, blocks, map_arrow, texts
 from lectern.llm.words import MEMO_WORDS, mix
 
 #: log2 of the number of weights.
@@ -52,6 +52,14 @@ class _Numbers(dict):
 _NUMBERS = _Numbers()
 
 
+def _forget() -> None:
+    global _NUMBERS
+    _NUMBERS = _Numbers()
+
+
+MEMOS[__name__] = _forget
+
+
 def _gram(*parts: np.ndarray, kind: int) -> np.ndarray:
     h = np.full(len(parts[0]), kind, np.uint64)
     for p in parts:
@@ -65,9 +73,8 @@ def vector(text: str, forms: bool) -> tuple[np.ndarray, np.ndarray]:
     Always lower-cased words and pairs of them; with ``forms`` also pairs and triples of word forms
     (case, length, signs), and of whether neighbours are the same word.
     """
-    global _NUMBERS
     if len(_NUMBERS) > MEMO_WORDS:
-        _NUMBERS = _Numbers()
+        _forget()
     tokens = _TOKEN.findall(text)
     at = np.fromiter(map(_NUMBERS.__getitem__, tokens), np.int64, len(tokens))
     look = lambda table: np.array([table[i] for i in at.tolist()], np.uint64)

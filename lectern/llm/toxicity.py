@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batch, blocks, map_arrow, texts
+from lectern.llm.common import MEMOS, batch, blocks, map_arrow, texts
 from lectern.llm.features import BITS, crc_fold, sampled_texts
 from lectern.llm.words import MEMO_WORDS
 
@@ -43,6 +43,7 @@ class _Places(dict):
 
 
 _PLACES = _Places()
+MEMOS[__name__] = _PLACES.clear
 
 
 def vector(text: str) -> tuple[np.ndarray, np.ndarray]:

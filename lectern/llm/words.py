@@ -7,6 +7,8 @@ from collections.abc import Callable
 import numpy as np
 import xxhash
 
+from lectern.llm.common import MEMOS
+
 #: Words remembered by one Python worker before it starts afresh (about 100 MB).
 MEMO_WORDS = 500_000
 
@@ -18,6 +20,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+MEMOS[__name__] = _HASHES.clear
 
 
 def split(text: bytes) -> list[bytes]:
