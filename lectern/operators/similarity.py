@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.functions.text import normalize_text, overlap_key, title_key
+from lectern.sources.shipping import ship
 
 #: Bytes of passages that are compared with all texts at once, as a broadcast.
 PASSAGE_BYTES = 8 << 20
+#: Bytes of query texts that a worker holds with an index at once.
+PHRASE_BYTES = 4 << 20
+#: Words at the start that two texts must share: least and most.
+HEAD_WORDS = 12, 24
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -104,12 +113,90 @@ def passage_overlap(docs: DataFrame, passages: DataFrame, least: int = 160, sing
     return out.withColumn("overlaps", (F.col("longest") >= single) | (F.col("matched") >= 2))
 
 
-def shared_head(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
-    """Pairs that share their first ``words`` words; an equi-join on the hash of the head."""
-    key = lambda c: F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " ")
-    a = docs.select("doc_id", key(F.col("text")).alias("w")).where(F.size("w") >= words).select("doc_id", F.array_join(F.slice("w", 1, words), " ").alias("head"))
-    b = items.select("item_id", key(F.col("text")).alias("w")).where(F.size("w") >= words).select("item_id", F.array_join(F.slice("w", 1, words), " ").alias("head"))
-    return a.join(b, "head").select("doc_id", "item_id")
+class Phrases:
+    """A block of query texts, and which of them match a text: one contains the other, or they share a long head.
+
+    Both sides are words with single spaces. In a contained text all words but the first and last are
+    whole words of the other side too, so the rarest of these proposes, and the strings decide.
+    """
+
+    def __init__(self, rows: Iterable[tuple[object, str | None]]) -> None:
+        ids: dict[str, list] = {}
+        for i, t in rows:
+            if key := semantic_key(t):
+                ids.setdefault(key, []).append(i)
+        self.texts, self.ids = list(ids), list(ids.values())
+        self.words = [t.split(" ") for t in self.texts]
+        self.longest = max(map(len, self.texts), default=0)
+        self.held: dict[str, list[int]] = {}
+        self.heads: dict[tuple[str, ...], list[int]] = {}
+        for i, w in enumerate(self.words):
+            for x in set(w):
+                self.held.setdefault(x, []).append(i)
+            if len(w) >= HEAD_WORDS[0]:
+                self.heads.setdefault(tuple(w[: HEAD_WORDS[0]]), []).append(i)
+        self.anchors: dict[str, list[int]] = {}
+        self.short = []
+        for i, w in enumerate(self.words):
+            if len(w) > 2:
+                self.anchors.setdefault(min(w[1:-1], key=lambda x: (len(self.held[x]), -len(x), x)), []).append(i)
+            else:
+                self.short.append(i)
+
+    def matches(self, text: str | None) -> Iterator[object]:
+        t = semantic_key(text)
+        if not t:
+            return
+        words = t.split(" ")
+        found = {i for i in self.short if self.texts[i] in t}
+        found.update(i for x in self.anchors.keys() & set(words) for i in self.anchors[x] if self.texts[i] in t)
+        if len(t) <= self.longest:
+            inside = min((self.held.get(x, ()) for x in words[1:-1]), key=len, default=range(len(self.texts)))
+            found.update(i for i in inside if t in self.texts[i])
+        for i in self.heads.get(tuple(words[: HEAD_WORDS[0]]), ()):
+            need = min(HEAD_WORDS[1], max(HEAD_WORDS[0], min(len(words), len(self.words[i])) // 3))
+            if words[:need] == self.words[i][:need]:
+                found.add(i)
+        for i in found:
+            yield from self.ids[i]
+
+
+def semantic_key(text: str | None) -> str:
+    """Runs of letters, digits and underscores in lower case, with single spaces."""
+    return " ".join(re.findall(r"\w+", (text or "").lower()))
+
+
+def semantic_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id``: one text contains the other, or both start with the same words.
+
+    Of the words of the shorter text a third must be shared at the start, 12 at least and 24 at most.
+    Null and empty texts match nothing. The items form a query set that meets all documents in blocks.
+    """
+    ship(docs.sparkSession)
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / PHRASE_BYTES))
+    schema = T.StructType([docs.schema["doc_id"], items.schema["item_id"]])
+    body = docs.select("doc_id", "text")
+    found = None
+    for k in range(blocks):
+        rows = items.select("item_id", "text").where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
+        part = body.mapInArrow(_matcher([tuple(r) for r in rows], to_arrow_type(items.schema["item_id"].dataType)), schema)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _matcher(rows: list[tuple], kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(rows)
+        for b in batches:
+            at, out = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                for i in phrases.matches(t):
+                    at.append(k)
+                    out.append(i)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, kind)], names=["doc_id", "item_id"])
+
+    return match
 
 
 def rare_word_pairs(rows: DataFrame, key: str, text: str, most: int) -> DataFrame:

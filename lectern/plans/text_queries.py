@@ -94,7 +94,7 @@ def overlap_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT item_id, string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS w FROM benchmark)
 SELECT doc_id, item_id FROM d JOIN b ON d.w[1:12] = b.w[1:12] AND len(d.w) >= 12 AND len(b.w) >= 12""")
 def semantic_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.shared_head(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 12)
+    return similarity.semantic_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(source || '/' || lang || '  ' || doc_id || '.md', '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g') AS name, substr(sha1(text), 1, 8) AS digest FROM documents""")
