@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ PASSAGE_BYTES = 8 << 20
 PHRASE_BYTES = 4 << 20
 #: Words at the start that two texts must share: least and most.
 HEAD_WORDS = 12, 24
+#: Rows on either side of a tile of titles.
+TILE_ROWS = 4096
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -199,15 +202,105 @@ def _matcher(rows: list[tuple], kind: pa.DataType) -> Callable[[Iterator[pa.Reco
     return match
 
 
-def rare_word_pairs(rows: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """``left_id, right_id, left_t, right_t, score``: pairs that share a word found in at most ``most`` rows, with their Jaccard similarity.
+def title_tiles(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``tile, lo, hi, part, id, t``: rows cut by id into parts, and every two parts in one tile, so that all pairs meet.
 
-    Frequent words block nothing, so no group of the join is larger than ``most``.
+    A tile holds about twice ``TILE_ROWS`` rows, whatever words or copies they have.
     """
-    words = rows.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.filter(F.split(text, " "), lambda x: x != ""))).alias("w"))
-    rare = words.groupBy("w").count().where(F.col("count").between(2, most)).select("w")
-    held = words.join(rare, "w")
-    pairs = held.select("w", F.col("id").alias("left_id")).join(held.select("w", F.col("id").alias("right_id")), "w").where("left_id < right_id").select("left_id", "right_id").distinct()
-    side = lambda name: rows.select(F.col(key).alias(f"{name}_id"), F.col(text).alias(f"{name}_t"))
-    out = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
-    return out.withColumn("score", token_jaccard(F.col("left_t"), F.col("right_t")))
+    rows = rows.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t != ''")
+    n = max(1, math.ceil(rows.count() / TILE_ROWS))
+    cuts = sorted(set(rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n)).first()[0] or [])) if n > 1 else []
+    parts = len(cuts) + 1
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("id"))) if cuts else F.lit(0)
+    rows = rows.select("id", "t", part.cast("long").alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    lo, hi = F.least("part", "other"), F.greatest("part", "other")
+    return rows.select((lo * parts + hi).alias("tile"), lo.alias("lo"), hi.alias("hi"), "part", "id", "t")
+
+
+class Titles:
+    """Titles of one side of a tile: their distinct texts, in which each word occurs, and the rows that hold each."""
+
+    def __init__(self, ids: np.ndarray, texts: list[str]) -> None:
+        order = np.argsort(ids, kind="stable")
+        places: dict[str, int] = {}
+        self.ids, self.of = ids[order], np.array([places.setdefault(texts[k], len(places)) for k in order], np.int64)
+        self.texts = list(places)
+        self.words = [frozenset(t.split(" ")) for t in self.texts]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        held: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words):
+            for x in w:
+                held.setdefault(x, []).append(i)
+        self.held = {x: np.array(v, np.int64) for x, v in held.items()}
+
+    def scores(self, words: frozenset[str]) -> np.ndarray:
+        """Jaccard similarity of the words with each distinct text."""
+        found = [self.held[x] for x in words if x in self.held]
+        common = np.bincount(np.concatenate(found), minlength=len(self.size)) if found else np.zeros(len(self.size), np.int64)
+        return common / (len(words) + self.size - common)
+
+
+def _sides(table: pa.Table) -> tuple[Titles, Titles]:
+    part, ids, texts = table.column("part").to_numpy(), table.column("id").to_numpy(), np.array(table.column("t").to_pylist(), object)
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    left = Titles(ids[part == lo], texts[part == lo].tolist())
+    return left, left if lo == hi else Titles(ids[part == hi], texts[part == hi].tolist())
+
+
+def _best(table: pa.Table) -> pa.Table:
+    """For each row its two best partners of larger id, by rounded score and smaller id."""
+    left, right = _sides(table)
+    out: list[tuple[int, int, float]] = []
+    for k, words in enumerate(left.words):
+        s = right.scores(words)[right.of]
+        s = np.floor(s * 1e6 + 0.5)
+        mine = left.ids[left.of == k]
+        pairs: dict[int, list[tuple[int, int]]] = {}
+        for i, at in zip(mine.tolist(), np.searchsorted(right.ids, mine, side="right").tolist(), strict=True):
+            if at not in pairs:
+                rest, pairs[at] = s[at:].copy(), []
+                for _ in range(min(2, len(rest))):
+                    j = int(rest.argmax())
+                    if rest[j] <= 0:
+                        break
+                    pairs[at].append((int(right.ids[at + j]), int(rest[j])))
+                    rest[j] = 0
+            out += [(i, j, x) for j, x in pairs[at]]
+    a, b, x = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"left_id": pa.array(a, pa.int64()), "right_id": pa.array(b, pa.int64()), "score": pa.array(x, pa.float64())})
+
+
+def best_titles(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``left_id, right_id, score``: among them the two best partners of each row, of those with a larger id that share a word."""
+    ship(rows.sparkSession)
+    best = title_tiles(rows, key, text).groupBy("tile").applyInArrow(_best, "left_id long, right_id long, score double")
+    return best.withColumn("score", F.round(F.col("score") / 1e6, 6))
+
+
+def alike_titles(rows: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """``left_id, right_id, score, ratio``: all pairs whose Jaccard similarity is ``least`` at least, with the ratio of their texts.
+
+    The result has a row for every pair, so m rows of one title make m^2 / 2 of them.
+    """
+    ship(rows.sparkSession)
+
+    def alike(table: pa.Table) -> pa.Table:
+        left, right = _sides(table)
+        out = [np.zeros((2, 0), np.int64)]
+        values = [np.zeros((2, 0))]
+        rows_of = np.argsort(right.of, kind="stable")
+        ends = np.cumsum(np.bincount(right.of, minlength=len(right.texts)))
+        for k, words in enumerate(left.words):
+            s = right.scores(words)
+            mine = left.ids[left.of == k]
+            for c in np.flatnonzero(s >= least).tolist():
+                theirs = right.ids[rows_of[ends[c - 1] if c else 0 : ends[c]]]
+                a, b = np.repeat(mine, len(theirs)), np.tile(theirs, len(mine))
+                some = a < b
+                if some.any():
+                    out.append(np.stack([a[some], b[some]]))
+                    values.append(np.repeat([[s[c]], [indel(left.texts[k], right.texts[c])]], int(some.sum()), axis=1))
+        (a, b), (x, y) = np.concatenate(out, axis=1), np.concatenate(values, axis=1)
+        return pa.table({"left_id": a, "right_id": b, "score": x, "ratio": y})
+
+    return title_tiles(rows, key, text).groupBy("tile").applyInArrow(alike, "left_id long, right_id long, score double, ratio double")

@@ -121,21 +121,20 @@ j AS (SELECT l, r, round(i / (p.n + q.n - i), 6) AS score FROM s JOIN n p ON p.p
 @query(f"""WITH {_TITLES}, k AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS k, lead(score) OVER (PARTITION BY l ORDER BY score DESC, r) AS second FROM j)
 SELECT l AS left_id, r AS right_id, score, score >= 0.9 AND score - coalesce(second, 0) >= 0.05 AS confident FROM k WHERE k = 1""")
 def title_match_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _title_pairs(spark, sf_dir).select("left_id", "right_id", F.round("score", 6).alias("score"))
+    scored = similarity.best_titles(_titles(spark, sf_dir), "page_id", "t")
     w = Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id")
     top = scored.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("k = 1")
     return top.select("left_id", "right_id", "score", similarity.confident(F.col("score"), F.col("second")).alias("confident"))
 
 
-def _title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", title_key(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t")).where("t != ''")
-    return similarity.rare_word_pairs(pages, "page_id", "t", 50)
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", title_key(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"))
 
 
 @query()
 def title_match_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _title_pairs(spark, sf_dir).where("score >= 0.5")
-    return pairs.select("left_id", "right_id", similarity.blended_score(F.col("score"), similarity.indel_ratio("left_t", "right_t")).alias("score"))
+    pairs = similarity.alike_titles(_titles(spark, sf_dir), "page_id", "t", 0.5)
+    return pairs.select("left_id", "right_id", similarity.blended_score(F.col("score"), F.col("ratio")).alias("score"))
 
 
 @query("""SELECT * FROM (VALUES (1, '1', 0::BIGINT), (1, '2', 0), (1, '3', 1)) t(doc, label, pos)""")

@@ -27,3 +27,24 @@ def test_semantic_matches(spark, monkeypatch):
     for size in (similarity.PHRASE_BYTES, 600):
         monkeypatch.setattr(similarity, "PHRASE_BYTES", size)
         assert sorted(map(tuple, similarity.semantic_matches(docs, items).collect())) == sorted(want)
+
+
+def test_titles(spark, monkeypatch):
+    r = random.Random(5)
+    texts = ["the same title"] * 60 + [" ".join(r.choice(["the", "of", "and", "x", "y", "z", *map(str, range(9))]) for _ in range(r.randint(1, 7))) for _ in range(120)] + ["", None, "alone"]
+    r.shuffle(texts)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = {i: set((t or "").split()) for i, t in rows}
+    pairs = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and x & y}
+    best = {}
+    for (a, b), s in sorted(pairs.items(), key=lambda p: (-round(p[1], 6), p[0][1])):
+        best.setdefault(a, []).append((b, round(s, 6)))
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    for size in (similarity.TILE_ROWS, 40):
+        monkeypatch.setattr(similarity, "TILE_ROWS", size)
+        got = {}
+        for x in sorted(similarity.best_titles(df, "id", "t").collect(), key=lambda x: (-x.score, x.right_id)):
+            got.setdefault(x.left_id, []).append((x.right_id, x.score))
+        assert {a: v[:2] for a, v in got.items()} == {a: v[:2] for a, v in best.items()}
+        alike = similarity.alike_titles(df, "id", "t", 0.5).collect()
+        assert sorted((x.left_id, x.right_id, x.score, x.ratio) for x in alike) == sorted((a, b, s, similarity.indel(texts[a], texts[b])) for (a, b), s in pairs.items() if s >= 0.5)
