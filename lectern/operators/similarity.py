@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,13 +93,99 @@ def candidate_pairs(classes: DataFrame, head: int = 200, delta: int = 64) -> Dat
     return a.join(b, ["lang", "head", "band"]).where((F.col("left_id") < F.col("right_id")) & (F.abs(F.col("left_n") - F.col("right_n")) <= delta)).select("left_id", "right_id")
 
 
-def near_pairs(docs: DataFrame, least: float = 0.995) -> DataFrame:
-    """Candidate pairs alike to the ratio ``least``; pairs whose lengths cannot reach it are ruled out first."""
-    classes = text_classes(docs)
-    rows = classes.select("doc_id", "t")
-    pairs = candidate_pairs(classes).join(rows.select(F.col("doc_id").alias("left_id"), F.col("t").alias("a")), "left_id").join(rows.select(F.col("doc_id").alias("right_id"), F.col("t").alias("b")), "right_id")
-    pairs = pairs.where(2 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b")) >= least)
-    return pairs.select("left_id", "right_id", matcher_ratio("a", "b").alias("ratio")).where(F.col("ratio") >= least)
+def edit_bound(n: int, least: float) -> int:
+    """Most single-character insertions and deletions between a text of ``n`` characters and one alike to the ratio ``least``.
+
+    Matched characters are a common subsequence, so d of them leave a ratio of 1 - d / (m + n) at most, and m <= n + d.
+    """
+    return int(2 * n * (1 - least) / least + 1e-6)
+
+
+def _first_grams(grams: list[str], spoilt: int, mark: bytes) -> list[int]:
+    """The smallest hashes of the grams, repeats counted as different: with ``spoilt`` of them lost one at least remains."""
+    code = lambda g, k: xxhash.xxh3_64_intdigest(mark + k + g.encode("utf-8", "surrogatepass")) - (1 << 63)
+    once = set(grams)
+    hashes = [code(g, b"") for g in once]
+    if len(once) < len(grams):
+        hashes += [code(g, b"%d " % k) for g, n in Counter(grams).items() for k in range(2, n + 1)]
+    return nsmallest(spoilt + 1, hashes)
+
+
+def gram_keys(text: str, least: float) -> list[int]:
+    """Keys of which two different texts share one if they are alike to the ratio ``least``.
+
+    An edit spoils four runs of three words at most. A text with too few of these for its bound also
+    gives runs of eight characters, of which an edit spoils eight; only two such texts need them.
+    """
+    edits = edit_bound(len(text), least)
+    if not edits:
+        return []
+    w = text.split()
+    runs = list(map(" ".join, zip(w, w[1:], w[2:], strict=False)))
+    out = _first_grams(runs, 4 * edits, b"w")
+    if len(runs) <= 4 * edits:
+        out += _first_grams([text[i : i + 8] for i in range(len(text) - 7)], 8 * edits, b"c")
+    return out
+
+
+def plain_text(text: str | None) -> str:
+    """:func:`normalize_text` of one string."""
+    t = re.sub(r"[ \t\r\f\v]+", " ", (text or "").replace("\xa0", " "))
+    return re.sub(r"\s*\n\s*", "\n", t).strip()
+
+
+def text_sketches(docs: DataFrame, least: float) -> DataFrame:
+    """``doc_id, lang, digest, n, keys, bag`` of documents with text: hash and length of the normalised text, its
+    :func:`gram_keys` and counts of its characters in 32 groups. One pass; only these are moved later."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("digest binary, n int, keys array<long>, bag array<int>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in map(plain_text, texts):
+            raw = t.encode("utf-32-le", "surrogatepass")
+            out.append((xxhash.xxh3_128_digest(raw), len(t), gram_keys(t, least), np.bincount(np.frombuffer(raw, np.uint32) & 31, minlength=32).astype(np.int32)))
+        return pd.DataFrame(out, columns=["digest", "n", "keys", "bag"])
+
+    return docs.select("doc_id", "lang", sketch("text").alias("s")).select("doc_id", "lang", "s.*").where("n > 0")
+
+
+def edits_pairs(classes: DataFrame, least: float, delta: int = 64) -> DataFrame:
+    """``left_id, right_id``: all pairs of one language that can be alike to ``least``, by shared keys, lengths and counts of characters."""
+    band = F.floor(F.col("n") / (delta + 1))
+    keys = classes.where("lang IS NOT NULL").select("doc_id", "lang", "keys", F.explode(F.array(band, band + 1)).alias("band"))
+    keys = keys.select("doc_id", "lang", "band", F.explode("keys").alias("key")).select("doc_id", F.xxhash64("lang", "band", "key").alias("key"))
+    pairs = keys.withColumnRenamed("doc_id", "left_id").join(keys.withColumnRenamed("doc_id", "right_id"), "key").where("left_id < right_id").select("left_id", "right_id").distinct()
+    side = lambda x: classes.select(F.col("doc_id").alias(f"{x}_id"), F.col("lang").alias(f"{x}_lang"), F.col("n").alias(f"{x}_n"), F.col("bag").alias(f"{x}_bag"))
+    pairs = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    most = (1 - least) * (F.col("left_n") + F.col("right_n")) + 1e-6
+    apart = F.aggregate(F.zip_with("left_bag", "right_bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    return pairs.where((F.col("left_lang") == F.col("right_lang")) & (F.abs(F.col("left_n") - F.col("right_n")) <= delta) & (apart <= most)).select("left_id", "right_id")
+
+
+@F.pandas_udf(T.DoubleType())
+def matcher_ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp of the normalised texts, or null where the longest common subsequence already rules the least ratio out."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if indel(x, y) >= z else None for x, y, z in zip(map(plain_text, a), map(plain_text, b), least, strict=True)], dtype="float64")
+
+
+def near_pairs(docs: DataFrame, least: float = 0.995, delta: int = 64) -> DataFrame:
+    """``left_id, right_id, ratio``: pairs of one language, of lengths ``delta`` apart at most and alike to the ratio ``least``.
+
+    Equal texts form a class, named by its smallest id: each other member is paired with that id at
+    ratio 1, and classes are paired by these ids, so that links of copies follow from the rows.
+    Empty texts are paired with nothing.
+    """
+    sketches = text_sketches(docs, least).persist(StorageLevel.DISK_ONLY)
+    classes = sketches.groupBy("lang", "digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "keys", "bag")])
+    several = classes.where("copies > 1").select(F.col("lang").alias("_lang"), F.col("digest").alias("_digest"), F.col("doc_id").alias("left_id"))
+    copies = sketches.select("doc_id", "lang", "digest").join(several, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("digest") == F.col("_digest"))).where("doc_id != left_id")
+    pairs = edits_pairs(classes, least, delta).persist(StorageLevel.DISK_ONLY)
+    asked = pairs.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).distinct()
+    rows = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi")
+    pairs = pairs.join(rows.select(F.col("doc_id").alias("left_id"), F.col("text").alias("a")), "left_id").join(rows.select(F.col("doc_id").alias("right_id"), F.col("text").alias("b")), "right_id")
+    found = pairs.select("left_id", "right_id", matcher_ratio_from("a", "b", F.lit(least)).alias("ratio")).where(F.col("ratio") >= least)
+    return found.unionByName(copies.select("left_id", F.col("doc_id").alias("right_id"), F.lit(1.0).alias("ratio")))
 
 
 def passage_overlap(docs: DataFrame, passages: DataFrame, least: int = 160, single: int = 240) -> DataFrame:

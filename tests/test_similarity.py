@@ -48,3 +48,31 @@ def test_titles(spark, monkeypatch):
         assert {a: v[:2] for a, v in got.items()} == {a: v[:2] for a, v in best.items()}
         alike = similarity.alike_titles(df, "id", "t", 0.5).collect()
         assert sorted((x.left_id, x.right_id, x.score, x.ratio) for x in alike) == sorted((a, b, s, similarity.indel(texts[a], texts[b])) for (a, b), s in pairs.items() if s >= 0.5)
+
+
+def test_near_pairs(spark):
+    from difflib import SequenceMatcher
+
+    r = random.Random(7)
+    say = lambda n: " ".join(r.choice(["the", "of", "alpha", "beta"]) + str(r.randrange(30)) for _ in range(n))
+    texts = [None, "", "", "short", "short"]
+    for base in (say(30), say(100), say(500), "nospace" * 40, "".join(r.choice("abc") for _ in range(900))):
+        texts += [base, base, base[1:], "x" + base[1:], base[:150] + base[151:], base.replace(" ", "", 1)]
+        for _ in range(12):
+            t = list(base)
+            for _ in range(r.randint(1, 6)):
+                t[r.randrange(len(t))] = r.choice(["", " ", "q", "zz"])
+            texts.append("".join(t).strip())
+    texts = [t and " ".join(t.split()) for t in texts]
+    langs = ["en", "de", None]
+    rows = [(i, langs[0] if i % 9 else langs[i % 3], t) for i, t in enumerate(texts)]
+    first = {}
+    for i, lang, t in rows:
+        first.setdefault((lang, t or ""), i)
+    want = {(first[lang, t], i) for i, lang, t in rows if t and first[lang, t] != i}
+    alone = [(i, lang, t) for (lang, t), i in first.items() if t]
+    near = {(a, b) for a, la, x in alone for b, lb, y in alone if a < b and la == lb and la and abs(len(x) - len(y)) <= 64 and SequenceMatcher(None, x, y).ratio() >= 0.995}
+    assert sum(texts[a][:200] != texts[b][:200] for a, b in near) > 5 and any(len(texts[b]) < 300 for a, b in near)
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    got = similarity.near_pairs(docs).collect()
+    assert sorted((x.left_id, x.right_id) for x in got) == sorted(want | near)
