@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm.common import saved, without
+from lectern.llm.common import key_of, row_key, saved, texts, without
 from lectern.llm.decontaminate import find_contamination
 from lectern.llm.exact_dedup import progressive_exact_dedup
 from lectern.llm.near_dedup import near_duplicates
@@ -23,22 +24,29 @@ from lectern.llm.token_count import count_tokens
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality classifier rejects."""
     model = train_quality(docs, table(spark, sf_dir, "labels"))
-    return without(docs, saved(score_quality(docs, model).where("predicted = 0").select("doc_id"), "rejected"))
+    return without(docs, saved(score_quality(row_key(docs), model).where("predicted = 0").select("doc_id"), "rejected"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the document with the largest id."""
-    return without(docs, saved(progressive_exact_dedup(docs).where("NOT kept").select("doc_id"), "copies"))
+    """Of equal texts keep the document with the largest id; one without id only where none has an id."""
+    copies = progressive_exact_dedup(docs).where("NOT kept")
+    return without(docs, saved(copies.select(key_of(F.col("doc_id"), F.col("text_sha256")).alias("doc_id")), "copies"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates keep the document with the smallest id."""
-    return without(docs, saved(near_duplicates(docs).where("NOT kept").select("doc_id"), "near"))
+    """Of near duplicates keep the document with the smallest id, a missing one counted as smallest; of one id one text."""
+    linked = near_duplicates(row_key(docs)).select(F.col("doc_id").alias("key"), "component_id")
+    several = linked.where("key != component_id").select("component_id").distinct()
+    linked = saved(linked.join(several, "component_id", "left_semi"), "linked")
+    rows = texts(docs).select(F.col("doc_id").alias("id"), key_of(F.col("doc_id"), F.sha2(F.col("text").cast("binary"), 256)).alias("key"))
+    members = saved(rows.join(linked.distinct(), "key"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    return without(docs, saved(members.join(first, "key", "left_anti").select(F.col("key").alias("doc_id")), "near"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold passages of the benchmark."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = find_contamination(row_key(docs), table(spark, sf_dir, "benchmark"))
     return without(docs, saved(found.where("contaminated").select("doc_id"), "contaminated"))
 
 

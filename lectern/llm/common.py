@@ -167,16 +167,29 @@ def with_member(df: DataFrame, slots: DataFrame, slot: Column, name: str) -> Dat
     return df.withColumn(s, slot).join(F.broadcast(held), F.bitmap_bucket_number(F.col(s)) == F.col(f"_bucket_{name}"), "left").withColumn(name, hit).drop(s, f"_bucket_{name}", f"_bits_{name}")
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not among those of ``dropped`` (one column, ``doc_id``), all columns kept.
+def row_key(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, with the key of the row in place of its id: rows that share an id, or have none, are told apart by their text."""
+    rows = texts(docs)
+    return rows.select(key_of(F.col("doc_id"), F.sha2(F.col("text").cast("binary"), 256)).alias("doc_id"), "text")
 
+
+def key_of(doc_id: Column, text_sha256: Column) -> Column:
+    """A 64-bit key of an id, which may be null, and the hash of a text."""
+    return F.xxhash64(F.coalesce(doc_id, F.lit(0).cast("long")), doc_id.isNull(), text_sha256)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not among those of ``dropped`` (one column, ``doc_id``, as :func:`row_key` names it), all columns kept.
+
+    Rows with one id, or without any, fall only for their own text; a null text counts as empty.
     A bitmap of fixed size lets most rows through where they are; only rows that share a slot with a
-    dropped id are shuffled and joined. Null ids compare equal. Columns travel in a struct, so that
-    none can clash with a helper column.
+    dropped key are shuffled and joined. Columns travel in a struct, so that none can clash with a
+    helper column.
     """
     gone = dropped.select(F.col("doc_id").alias("_gone"))
     slots = bitmap(gone.select(slot_of(F.col("_gone")).alias("_s")), "_s")
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    key = key_of(F.col("doc_id").cast("long"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_id"))
     asked = with_member(rows, slots, slot_of(F.col("_id")), "_maybe")
-    rest = asked.where("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    rest = asked.where("_maybe").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
     return asked.where(~F.col("_maybe")).select("_row.*").unionByName(rest.select("_row.*"))
