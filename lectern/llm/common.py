@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -15,18 +17,31 @@ from pyspark.sql import functions as F
 
 from lectern.sources.shipping import ship
 
-#: Slots of a fixed-size bitmap: a whole number of 32,768-slot buckets, 1 MB in all.
-BITMAP_SLOTS = 1 << 23
-_BUCKET = 32_768
+#: Slots of a bitmap, whole numbers of 32,768-slot buckets: 1 MB where the members were not counted, and at most 128 MB.
+BITMAP_SLOTS, MOST_SLOTS = 1 << 23, 1 << 30
+#: Answers of the largest groups that are broadcast; any other group has at most one row in so many.
+TOP_GROUPS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_lectern_dir", None) or tempfile.mkdtemp(prefix="lectern-")
-        spark._lectern_dir = base
-    return f"{base.rstrip('/')}/lectern"
+    """A folder of this session's own in ``spark.checkpoint.dir``, which driver and executors share; the file system deletes it when the driver ends.
+
+    Where the setting is absent a local folder serves a local master (tests); a cluster without it is refused.
+    """
+    if not getattr(spark, "_lectern_dir", None):
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="lectern-")
+        spark._lectern_dir = f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._lectern_dir)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark._lectern_dir
+
+
+#: Tables that the innermost :func:`scratch` will delete.
+_written: list[list[DataFrame]] = []
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -36,9 +51,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
+    if _written:
+        _written[-1].append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch(keep: list[DataFrame]) -> Iterator[None]:
+    """What :func:`saved` writes inside is deleted at the end, but for the tables that ``keep`` holds by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        stays = {t._lectern_path for t in keep}
+        drop(*[t for t in _written.pop() if t._lectern_path not in stays])
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what :func:`saved` wrote, once nothing reads it any more."""
     for t in tables:
@@ -149,22 +177,44 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def bitmap(slots: DataFrame, column: str) -> DataFrame:
-    """A set of slots in 0 .. BITMAP_SLOTS - 1 as at most 256 rows of 4 KB: small enough to broadcast at any input size."""
-    return slots.groupBy(F.bitmap_bucket_number(F.col(column)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(column))).alias("_bits"))
+def slots_for(members: int) -> int:
+    """Slots at which one row in 16 that is no member shares a member's slot, within the bounds; beyond them more rows do."""
+    return min(MOST_SLOTS, max(BITMAP_SLOTS, 1 << (16 * members).bit_length()))
 
 
-def slot_of(*columns: Column) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BITMAP_SLOTS)).cast("long")
+def bitmap(members: DataFrame, *columns: Column, slots: int = BITMAP_SLOTS) -> DataFrame:
+    """A set of members, by a hash of the columns, as rows of 4 KB that hold 32,768 slots each."""
+    s = members.select(slot_of(*columns, slots=slots).alias("_s"))
+    return s.groupBy(F.bitmap_bucket_number("_s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
 
 
-def with_member(df: DataFrame, slots: DataFrame, slot: Column, name: str) -> DataFrame:
-    """``df`` with a boolean column that says whether its slot is in the bitmap."""
+def slot_of(*columns: Column, slots: int = BITMAP_SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(slots)).cast("long")
+
+
+def with_member(df: DataFrame, bits: DataFrame, name: str, *columns: Column, slots: int = BITMAP_SLOTS) -> DataFrame:
+    """``df`` with a boolean column that says whether its slot is in the bitmap (of as many slots)."""
     s, p = f"_slot_{name}", F.bitmap_bit_position(F.col(f"_slot_{name}"))
-    held = slots.withColumnsRenamed({"_bucket": f"_bucket_{name}", "_bits": f"_bits_{name}"})
+    held = bits.withColumnsRenamed({"_bucket": f"_bucket_{name}", "_bits": f"_bits_{name}"})
     byte = F.conv(F.hex(F.substring(F.col(f"_bits_{name}"), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (p % 8).cast("int")) == 1, F.lit(False))
-    return df.withColumn(s, slot).join(F.broadcast(held), F.bitmap_bucket_number(F.col(s)) == F.col(f"_bucket_{name}"), "left").withColumn(name, hit).drop(s, f"_bucket_{name}", f"_bits_{name}")
+    asked = df.withColumn(s, slot_of(*columns, slots=slots))
+    return asked.join(F.broadcast(held), F.bitmap_bucket_number(F.col(s)) == F.col(f"_bucket_{name}"), "left").withColumn(name, hit).drop(s, f"_bucket_{name}", f"_bits_{name}")
+
+
+def answered(rows: DataFrame, answers: DataFrame, key: list[str], weight: str, values: list[str]) -> DataFrame:
+    """``rows`` left-joined with ``answers`` on the columns ``key``, which name one answer each; adds the columns ``values``.
+
+    ``weight`` is about the number of rows that ask for an answer. The ``TOP_GROUPS`` heaviest answers
+    are broadcast and their rows spread evenly over the tasks of the join, so that no group of rows,
+    however large, meets in one task.
+    """
+    top = answers.orderBy(F.desc(weight), *key).limit(TOP_GROUPS).select(*[F.col(k).alias(f"_top_{k}") for k in key], F.struct(*values).alias("_top"))
+    rest = answers.select(*[F.col(k).alias(f"_rest_{k}") for k in key], F.struct(*values).alias("_rest"), F.lit(-1).cast("long").alias("_none"))
+    on = lambda side: functools.reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{side}{k}") for k in key])
+    asked = rows.join(F.broadcast(top), on("_top_"), "left").withColumn("_spread", F.when(F.col("_top").isNull(), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    out = asked.join(rest, on("_rest_") & (F.col("_spread") == F.col("_none")), "left")
+    return out.select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"_top.{v}", f"_rest.{v}").alias(v) for v in values])
 
 
 def row_key(docs: DataFrame) -> DataFrame:
@@ -182,14 +232,15 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is not among those of ``dropped`` (one column, ``doc_id``, as :func:`row_key` names it), all columns kept.
 
     Rows with one id, or without any, fall only for their own text; a null text counts as empty.
-    A bitmap of fixed size lets most rows through where they are; only rows that share a slot with a
-    dropped key are shuffled and joined. Columns travel in a struct, so that none can clash with a
-    helper column.
+    ``dropped`` is counted, so it should be a written table. A bitmap sized by that count lets most
+    rows through where they are; only rows that share a slot with a dropped key are shuffled and
+    joined. Beyond 64 million dropped keys the bitmap keeps its 128 MB, and a growing share of the
+    rows takes part in the join. Columns travel in a struct, so that none can clash with a helper.
     """
-    gone = dropped.select(F.col("doc_id").alias("_gone"))
-    slots = bitmap(gone.select(slot_of(F.col("_gone")).alias("_s")), "_s")
+    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
+    slots = slots_for(dropped.count())
     key = key_of(F.col("doc_id").cast("long"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     rows = docs.select(F.struct("*").alias("_row"), key.alias("_id"))
-    asked = with_member(rows, slots, slot_of(F.col("_id")), "_maybe")
+    asked = with_member(rows, bitmap(gone, F.col("_gone"), slots=slots), "_maybe", F.col("_id"), slots=slots)
     rest = asked.where("_maybe").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
     return asked.where(~F.col("_maybe")).select("_row.*").unionByName(rest.select("_row.*"))

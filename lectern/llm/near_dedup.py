@@ -1,30 +1,31 @@
-"""MinHash near-duplicates: an LSH forest proposes, full shingle sets confirm, components of the links follow."""
+"""MinHash near-duplicates: an LSH forest of sorted orders proposes, full shingle sets confirm, components of the links follow."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batch, binaries, bitmap, blocks, map_arrow, runs, saved, slot_of, texts, with_member
+from lectern.llm.common import answered, batch, binaries, bitmap, blocks, map_arrow, runs, saved, slots_for, texts, with_member
 from lectern.llm.components import components
 from lectern.llm.words import split_lower, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Links need PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 75
-#: Sorted signature orders, and labels that members of one region share at least. A pair at the threshold shares no
+#: Sorted signature orders, and labels that members of one region share at least; an order goes on with the labels of the next ones. A pair at the threshold shares no
 #: region with probability (1 - 0.75 ** 4) ** 32, about 5 in a million.
 TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
 #: Equal signature bytes, of 128, below which a pair is not proposed: at the threshold 96 are expected, 5.3 deviations more.
 AGREE = 70
-#: Documents, and shingles, on either side of one tile of a large region or cluster.
-TILE_DOCS, TILE_SHINGLES = 2048, 2_000_000
+#: Documents of a tile of a region, shingles on either side of a tile of a cluster, and rows of an order handled at once.
+TILE_DOCS, TILE_SHINGLES, HELD_ROWS = 2048, 2_000_000, 1 << 18
 BLOCK_BYTES = 8 << 20
 _NULL_ID = np.iinfo(np.int64).min
 _RNG = np.random.default_rng(20_200)
@@ -74,48 +75,128 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's prefix in each order."""
+def _orders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's place in each order: a hash of its first ``DEPTH`` labels there, and a byte of each of the next 8."""
     for b in batches:
         if not b.num_rows:
             continue
         m, nodes = _matrix(b.column(1), np.uint32).astype(np.uint64), b.column(0).to_numpy()
-        keys = []
+        heads, tails = [], []
         for t in range(TREES):
-            h = np.full(len(m), t + 1, np.uint64)
+            head, tail = np.full(len(m), t + 1, np.uint64), np.zeros(len(m), np.uint64)
             for c in range(t * DEPTH, (t + 1) * DEPTH):
-                h = (h ^ m[:, c]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            keys.append(h.view(np.int64))
-        yield batch(region=pa.array(np.concatenate(keys)), node=pa.array(np.tile(nodes, TREES)))
-
-
-def _shared(batches: Iterable[pa.RecordBatch], tile_docs: int) -> Iterator[pa.RecordBatch]:
-    """The regions of one partition that have several members, named after the set of members, so that orders which
-    agree on a region give it the same name. Regions too large for one tile become tiles of two of their parts."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not held:
-        return
-    key, node = (np.concatenate(x) for x in zip(*held, strict=True))
-    del held
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(first, append=len(key))
-    scrambled = window_hashes(node.astype(np.uint64), 1)
-    name = np.add.reduceat(scrambled, first).view(np.int64)
-    several = size > 1
-    small = several & (size <= 2 * tile_docs)
-    take = np.repeat(small, size)
-    if take.any():
-        yield batch(tile=pa.array(np.repeat(name[small], size[small])), node=pa.array(node[take]))
-    for i in np.flatnonzero(several & ~small).tolist():
-        members = node[first[i] : first[i] + size[i]]
-        parts = np.array_split(members, -(-len(members) // tile_docs))
-        for a in range(len(parts)):
-            for z in range(a + 1, len(parts)):
-                both = np.concatenate([parts[a], parts[z]])
-                yield batch(tile=pa.array(np.repeat(np.add.reduce(window_hashes(both.astype(np.uint64), 1)).view(np.int64), len(both))), node=pa.array(both))
+                head = (head ^ m[:, c]) * np.uint64(0x9E3779B97F4A7C15)
+                head ^= head >> np.uint64(29)
+            for c in range((t + 1) * DEPTH, (t + 1) * DEPTH + 8):
+                tail = tail << np.uint64(8) | m[:, c % HASHES] & np.uint64(255)
+            heads.append(head.view(np.int64))
+            # With the first bit turned, signed order is the order of the bytes.
+            tails.append((tail ^ np.uint64(1 << 63)).view(np.int64))
+        yield batch(head=pa.array(np.concatenate(heads)), tail=pa.array(np.concatenate(tails)), node=pa.array(np.tile(nodes, TREES)))
+
+
+def common_prefix(tail: np.ndarray) -> np.ndarray:
+    """Labels, 0 to 8, that each entry of a sorted order shares with the one before it."""
+    x = tail.view(np.uint64)
+    x = x[1:] ^ x[:-1]
+    shared = np.full(len(tail), 8, np.int64)
+    shared[:1] = 0
+    for k in range(8):
+        shared[1:][x >> np.uint64(56 - 8 * k) != 0] = np.minimum(shared[1:][x >> np.uint64(56 - 8 * k) != 0], k)
+    return shared
+
+
+def subregions(tail: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """A region's sorted members cut into runs of at most ``most``, each cut where neighbours share the shortest prefix.
+
+    So the depth grows only where a region is dense. A run also has the first member of the next one,
+    so that every two neighbours of the order meet.
+    """
+    n, shared, out, start = len(tail), common_prefix(tail), [], 0
+    while n - start > most:
+        low = start + max(1, most // 2)
+        stop = low + int(np.argmin(shared[low : start + most]))
+        out.append((start, stop + 1))
+        start = stop
+    return [*out, (start, n)]
+
+
+def _tiles(most: int):
+    """Sorted orders to tiles. A region that fits one tile and lies within the partition is one; of any other the subregions
+    are, and its members are also listed by region, since members of different subregions may be alike."""
+
+    def name(nodes: np.ndarray) -> int:
+        # After the set of members, so that orders which agree on a tile give it the same name.
+        return int(np.add.reduce(window_hashes(nodes.view(np.uint64), 1)).view(np.int64))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows, first = 0, True
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(tuple(b.column(i).to_numpy() for i in range(3)))
+                rows += b.num_rows
+                if rows < HELD_ROWS:
+                    continue
+            if not rows:
+                return
+            head, tail, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            begin = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+            stop = len(head) if b is None else int(begin[-1])
+            held, rows = [(head[stop:], tail[stop:], node[stop:])], len(head) - stop
+            begin = begin[begin < stop]
+            size = np.diff(begin, append=stop)
+            # The first and the last region of a partition may go on in its neighbours.
+            cut = np.zeros(len(begin), bool)
+            if len(begin):
+                cut[0] |= first
+                cut[-1] |= b is None
+                first = False
+            large = cut | (size > most)
+            several = (size > 1) & ~large
+            if several.any():
+                names = np.add.reduceat(window_hashes(node[:stop].view(np.uint64), 1), begin).view(np.int64)
+                n = int(size[several].sum())
+                yield batch(tile=pa.array(np.repeat(names[several], size[several])), node=pa.array(node[:stop][np.repeat(several, size)]), region=pa.nulls(n, pa.int64()))
+            for i in np.flatnonzero(large).tolist():
+                members, tails = node[begin[i] : begin[i] + size[i]], tail[begin[i] : begin[i] + size[i]]
+                for a, z in subregions(tails, most):
+                    if z - a > 1:
+                        yield batch(tile=pa.array(np.full(z - a, name(members[a:z]))), node=pa.array(members[a:z]), region=pa.nulls(z - a, pa.int64()))
+                yield batch(tile=pa.nulls(len(members), pa.int64()), node=pa.array(members), region=pa.array(np.repeat(head[begin[i]], len(members))))
+
+    return run
+
+
+def across(members: DataFrame, found: DataFrame, most: int) -> DataFrame | None:
+    """``tile, node``: tiles in which every two members of a region that lie in different components meet.
+
+    ``members`` has ``region, node, weight``, each member of a region once; ``found`` has ``node,
+    component``, a node that it lacks being its own. None where each region lies within one component.
+    Small components share bins of weight ``most``, large ones are cut into parts of that; a tile is
+    two of these units, so its weight is about twice ``most``.
+    """
+    known = members.join(found.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left").select("region", "node", "weight", F.coalesce("component", "node").alias("component"))
+    known = saved(known, "members")
+    per = known.groupBy("region", "component").agg(F.sum("weight").alias("heavy"), F.count(F.lit(1)).alias("rows"))
+    small = F.sum(F.when(F.col("heavy") <= most, F.col("heavy")))
+    bins = F.coalesce(F.ceil(small / most), F.lit(0)).cast("long")
+    parts = F.ceil(F.col("heavy") / most).cast("long")
+    several = per.groupBy("region").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("some"), bins.alias("bins"), F.sum(F.when(F.col("heavy") > most, parts).otherwise(0)).alias("in_parts"))
+    several = saved(several.where("some > 1").select("region", "rows", "bins", (F.col("bins") + F.col("in_parts")).alias("units")), "regions")
+    if several.isEmpty():
+        return None
+    large = per.where(F.col("heavy") > most).withColumn("parts", parts)
+    before = F.sum("parts").over(Window.partitionBy("region").orderBy("component").rowsBetween(Window.unboundedPreceding, -1))
+    large = large.select("region", "component", "rows", "parts", F.coalesce(before, F.lit(0)).alias("before"))
+    asked = answered(known, several, ["region"], "rows", ["bins", "units"]).where("units IS NOT NULL")
+    asked = answered(asked, large, ["region", "component"], "rows", ["parts", "before"])
+    first = F.col("bins") + F.col("before")
+    unit = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("component"), F.col("bins"))).otherwise(first + F.pmod(F.xxhash64("node"), F.col("parts")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("units") - 1)
+    other = F.explode(F.filter(every, lambda x: F.col("parts").isNull() | (x < first) | (x >= first + F.col("parts"))))
+    asked = asked.withColumn("unit", unit).withColumn("other", other)
+    return asked.select(F.xxhash64("region", F.least("unit", "other"), F.greatest("unit", "other")).alias("tile"), "node")
 
 
 def _proposed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +267,7 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges: list[tuple[int, int]] = []
-    for t in runs(batches, ["cluster", "low", "high"]):
+    for t in runs(batches, ["tile"]):
         nodes = t.column("node").to_pylist()
         found = spanning_links([np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]) if len(nodes) > 1 else []
         edges += [(nodes[i], nodes[j]) for i, j in found]
@@ -197,7 +278,14 @@ def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(edges)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile_docs: int = TILE_DOCS) -> DataFrame:
+def _low_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            m = (_matrix(b.column(1), np.uint32) & np.uint32(255)).astype(np.uint8)
+            yield batch(of=b.column(0), bytes=binaries([r.tobytes() for r in m]))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile_docs: int = TILE_DOCS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Two documents are linked if the Jaccard similarity of their sets of word 5-grams (A-Z in lower
@@ -205,52 +293,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document with that id is kept. Texts of fewer words have one shingle; null and empty texts have
     none and are linked with nothing.
 
-    Documents with equal sets form a class; only its smallest id goes on. The forest has ``TREES``
-    sorted orders of MinHash labels; documents that share ``DEPTH`` labels at the head of an order
-    make a region. Inside a region, signatures are compared and a spanning forest of proposed links
-    leaves the task. Components of these are clusters; the full sets of a cluster meet in tiles of
-    bounded size, and a spanning forest of the confirmed links leaves them. Nothing caps how many
-    partners a document has, and no group goes to one task: large regions and clusters are split
-    into parts, and every two parts meet in a tile.
+    Documents with equal sets form a class, numbered by a hash of the set. The forest has ``TREES``
+    orders of the classes, each sorted by its own sequence of MinHash labels; a region is a run of an
+    order that shares ``DEPTH`` labels. Orders are cut into tasks by range, so a region may spread
+    over several. In a region of up to ``tile_docs`` members all are candidates of each other; a
+    denser one is cut deeper, into runs of neighbours with longer common prefixes, and where these
+    are not all connected afterwards, members of its different components meet in tiles. Candidates
+    are judged by their signatures, and a spanning forest of the proposed links leaves a task.
+    Components of these are clusters. Their full sets meet in parts of bounded size, each with the
+    cluster's first member; if that does not connect a cluster, members of its different components
+    meet in tiles. Nothing caps how many partners a document has.
 
     Null ids count as one document with the smallest id; rows that repeat an id are handled by their
     text. Repeated rows give repeated rows, an empty input gives none, other columns are ignored.
     """
     rows = texts(docs, id_col, text_col).select(F.coalesce(F.col("doc_id"), F.lit(int(_NULL_ID))).alias("node"), F.col("text").cast("binary").alias("raw"))
     sketch = saved(map_arrow(rows, _sketch, "node long, n long, digest binary, sign binary"), "sketch")
-    classes = sketch.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("sign").alias("sign"))
-    classes = saved(classes, "classes")
-    regions = map_arrow(classes.select("node", "sign"), _regions, "region long, node long")
-    tiles = map_arrow(regions.repartition("region"), lambda batches: _shared(batches, tile_docs), "tile long, node long").distinct()
-    low_byte = map_arrow(classes.select(F.col("node").alias("of"), "sign"), _low_bytes, "of long, bytes binary").dropDuplicates(["of"])
-    tiles = tiles.join(low_byte, F.col("node") == F.col("of")).select("tile", "node", "bytes")
-    proposed = map_arrow(tiles.repartition("tile").sortWithinPartitions("tile"), _proposed, "a long, b long")
-    clusters = components(proposed).select("node", F.col("component").alias("cluster"))
-    clusters = saved(clusters.join(classes.select(F.col("node").alias("of"), "n", "digest"), F.col("node") == F.col("of")).drop("of"), "clusters")
-    parts = clusters.groupBy(F.col("cluster").alias("of")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / (2 * tile_docs)), F.ceil(F.sum("n") / (2 * TILE_SHINGLES)), F.lit(1)).cast("int").alias("some"))
-    # A cluster that fits one tile is one part; otherwise parts are half a tile, so that any two fit.
-    parts = parts.select("of", F.when(F.col("some") > 1, F.col("some") * 2).otherwise(1).alias("parts"))
-    asked = clusters.join(parts, F.col("cluster") == F.col("of")).drop("of", "n")
-    hit = with_member(rows, bitmap(clusters.select(slot_of(F.col("node")).alias("_s")), "_s"), slot_of(F.col("node")), "_hit").where("_hit").select("node", "raw")
-    sets = map_arrow(hit, _sets, "of long, set_digest binary, shingles binary").dropDuplicates(["of", "set_digest"])
-    joined = asked.join(sets, (F.col("node") == F.col("of")) & (F.col("digest") == F.col("set_digest")))
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("mine"))))
-    tiled = joined.withColumn("mine", mine).withColumn("other", other)
-    tiled = tiled.select("cluster", F.least("mine", "other").cast("long").alias("low"), F.greatest("mine", "other").cast("long").alias("high"), "node", "shingles")
-    linked = map_arrow(tiled.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high"), _confirmed, "a long, b long")
-    found = components(linked).select(F.col("node").alias("of"), "component")
-    named = classes.select(F.col("digest").alias("_digest"), "node").join(found, F.col("node") == F.col("of"), "left").select("_digest", F.coalesce("component", "node").alias("component"))
+    classes = sketch.where("n > 0").groupBy("digest").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+    classes = saved(classes.withColumn("node", F.xxhash64("digest")), "classes")
+    low_bytes = map_arrow(classes.select(F.col("node").alias("of"), "sign"), _low_bytes, "of long, bytes binary")
+
+    def proposed(tiles: DataFrame) -> DataFrame:
+        tiles = tiles.join(low_bytes, F.col("node") == F.col("of")).select("tile", "node", "bytes")
+        return map_arrow(tiles.repartition("tile").sortWithinPartitions("tile"), _proposed, "a long, b long")
+
+    orders = map_arrow(classes.select("node", "sign"), _orders, "head long, tail long, node long")
+    orders = orders.repartitionByRange("head", "tail", "node").sortWithinPartitions("head", "tail", "node")
+    tiles = saved(map_arrow(orders, _tiles(tile_docs), "tile long, node long, region long"), "tiles")
+    links = saved(proposed(tiles.where("tile IS NOT NULL").select("tile", "node").distinct()), "links")
+    clusters = components(links)
+    spread = tiles.where("region IS NOT NULL").select("region", "node", F.lit(1).cast("long").alias("weight"))
+    if (more := across(spread, clusters, tile_docs)) is not None:
+        clusters = components(links.unionByName(proposed(more)))
+    clusters = clusters.join(classes.select(F.col("node").alias("of"), "n", "digest", "least"), F.col("node") == F.col("of")).select("node", F.col("component").alias("cluster"), "n", "digest", "least")
+    clusters = saved(clusters, "clusters")
+    slots = slots_for(clusters.count())
+
+    def confirmed(asked: DataFrame) -> DataFrame:
+        """Links among the members ``tile, node, digest, least`` that meet in a tile; texts are read again for their sets."""
+        mine = with_member(rows, bitmap(asked, F.col("least"), slots=slots), "_hit", F.col("node"), slots=slots).where("_hit").select("node", "raw")
+        sets = map_arrow(mine, _sets, "of long, set_digest binary, shingles binary").select("set_digest", "shingles").dropDuplicates(["set_digest"])
+        joined = asked.join(sets, F.col("digest") == F.col("set_digest")).select("tile", "node", "shingles")
+        return map_arrow(joined.repartition("tile").sortWithinPartitions("tile"), _confirmed, "a long, b long")
+
+    weight = F.greatest("n", F.lit(max(1, tile_shingles // tile_docs)))
+    parts = clusters.groupBy("cluster").agg(F.ceil(F.sum(weight) / (2 * tile_shingles)).alias("parts"), F.count(F.lit(1)).alias("rows"))
+    split = answered(clusters, parts, ["cluster"], "rows", ["parts"])
+    all_parts = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    # The first member of a cluster goes to each of its parts.
+    part = F.explode(F.when(F.col("node") == F.col("cluster"), all_parts).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")))))
+    linked = saved(confirmed(split.select(part.alias("part"), "cluster", "node", "digest", "least").select(F.xxhash64("cluster", "part").alias("tile"), "node", "digest", "least")), "links")
+    found = components(linked)
+    split = split.where("parts > 1").select(F.col("cluster").alias("region"), "node", weight.alias("weight"))
+    if (rest := across(split, found, tile_shingles)) is not None:
+        rest = rest.join(clusters.select(F.col("node").alias("of"), "digest", "least"), F.col("node") == F.col("of")).select("tile", "node", "digest", "least")
+        found = components(linked.unionByName(confirmed(saved(rest, "tiles"))))
+    # Classes to the smallest id of their component; classes alone in theirs to their own smallest id.
+    found = found.join(classes.select(F.col("node").alias("of"), "least", "digest", "copies"), F.col("node") == F.col("of")).select("digest", "component", "least", "copies")
+    found = saved(found, "found")
+    smallest = found.groupBy("component").agg(F.min("least").alias("smallest"), F.count(F.lit(1)).alias("rows"))
+    named = answered(found, smallest, ["component"], "rows", ["smallest"]).select("digest", "smallest", "copies")
+    alone = classes.where("copies > 1").join(found.select(F.col("digest").alias("_digest")), F.col("digest") == F.col("_digest"), "left_anti")
+    named = named.unionByName(alone.select("digest", F.col("least").alias("smallest"), "copies"))
     # Texts without shingles get a key of their own, so that they spread evenly and meet no class.
-    key = F.coalesce("digest", F.concat(F.lit("-"), F.col("node").cast("string")).cast("binary"))
-    out = sketch.select("node", "n", key.alias("_key")).join(named, F.col("_key") == F.col("_digest"), "left")
-    component = F.coalesce("component", "node")
+    key = F.coalesce("digest", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")).cast("binary"))
+    out = answered(sketch.select("node", "n", key.alias("digest")), named, ["digest"], "copies", ["smallest"])
+    component = F.coalesce("smallest", "node")
     shown = lambda c: F.when(c != int(_NULL_ID), c)
     return out.select(shown(F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(component).alias("component_id"), (F.col("node") == component).alias("kept"))
-
-
-def _low_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            m = (_matrix(b.column(1), np.uint32) & np.uint32(255)).astype(np.uint8)
-            yield batch(of=b.column(0), bytes=binaries([r.tobytes() for r in m]))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batch, binaries, bitmap, blocks, map_arrow, runs, saved, slot_of, texts, with_member
+from lectern.llm.common import batch, binaries, bitmap, blocks, map_arrow, runs, saved, slots_for, texts, with_member
 from lectern.llm.words import split, window_hashes, word_hashes
 
 WINDOW = 20
@@ -178,7 +178,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str
     found = saved(map_arrow(counted.repartition("block").sortWithinPartitions("block"), _gather(window, kind), "of long, text_hash long, spans binary"), "passages")
     spans = found.groupBy("of", "text_hash").agg(F.first("spans").alias("spans"))
     number = F.coalesce(F.col("doc_id"), F.lit(int(_NULL_ID)))
-    asked = with_member(rows, bitmap(found.select(slot_of(F.col("of"), F.col("text_hash")).alias("_s")), "_s"), slot_of(number, F.col("text_hash")), "_hit")
+    slots = slots_for(found.count())
+    asked = with_member(rows, bitmap(found, F.col("of"), F.col("text_hash"), slots=slots), "_hit", number, F.col("text_hash"), slots=slots)
     clean = asked.where(~F.col("_hit")).select("doc_id", "raw", F.lit(None).cast("binary").alias("spans"))
     hit = asked.where("_hit").select("doc_id", "raw", F.col("text_hash").alias("_hash"), number.alias("_id"))
     hit = hit.join(spans, (F.col("_id") == F.col("of")) & (F.col("_hash") == F.col("text_hash")), "left").select("doc_id", "raw", "spans")
