@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batch, binaries, blocks, map_arrow, texts
+from lectern.llm.common import batch, binaries, blocks, drop, map_arrow, saved, texts
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 ONE_IN = 20
 #: Bytes of training text under one suffix array.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is searched in slices.
 SLICE_BYTES = 32 << 20
 
@@ -36,8 +36,7 @@ class Probes:
 
     number: dict[bytes, int]  # word to 1, 2, ...
     bits: int  # of a word's number
-    depth: int  # words of the longest window
-    low: np.ndarray  # distinct windows as packed keys, ascending; shorter windows padded with the least word
+    low: np.ndarray  # distinct windows as rows of packed keys, ascending; shorter windows padded with the least word
     high: np.ndarray  # the same, padded with the greatest
     size: np.ndarray  # words of each window
     first: np.ndarray  # items of window k: item[first[k]:first[k + 1]], with the window's place in the item
@@ -45,10 +44,6 @@ class Probes:
     place: np.ndarray
     names: list[str]
 
-    @property
-    def shortest(self) -> int:
-        return int(self.size.min()) if len(self.size) else 0
-
 
 def pack_words(columns: np.ndarray, bits: int) -> np.ndarray:
     """Rows of word numbers as byte strings that compare like the rows."""
@@ -61,10 +56,6 @@ def pack_words(columns: np.ndarray, bits: int) -> np.ndarray:
     return keys
 
 
-def as_text(keys: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(keys.astype(">u8")).view(f"S{8 * keys.shape[1]}").ravel() if len(keys) else np.zeros(0, "S8")
-
-
 def probes(items: list[tuple[str, bytes]], window: int) -> Probes:
     number: dict[bytes, int] = {}
     rows, sizes, owner, place = [], [], [], []
@@ -77,7 +68,8 @@ def probes(items: list[tuple[str, bytes]], window: int) -> Probes:
             owner.append(k)
             place.append(at)
     bits = max(1, (len(number) + 1).bit_length())
-    depth = max(sizes, default=1)
+    per = max(1, 63 // bits)
+    depth = -(-max(sizes, default=1) // per) * per
     low, high = np.zeros((len(rows), depth), np.int64), np.full((len(rows), depth), (1 << bits) - 1, np.int64)
     for i, r in enumerate(rows):
         low[i, : len(r)] = high[i, : len(r)] = r
@@ -88,34 +80,84 @@ def probes(items: list[tuple[str, bytes]], window: int) -> Probes:
     order = np.argsort(inverse.ravel(), kind="stable")
     first = np.searchsorted(inverse.ravel()[order], np.arange(len(index) + 1))
     take = lambda x: np.array(x, np.int64)[order]
-    return Probes(number, bits, depth, as_text(low[index]), as_text(high[index]), np.array(sizes, np.int64)[index], first, take(owner), take(place), [name for name, _ in items])
-
-
-def suffix_array(seq: np.ndarray, p: Probes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of the words that follow, with their keys. Words outside the benchmark and document ends
-    are 0; a suffix that meets one before the shortest window ends can match nothing and is left out."""
-    zero = np.append(np.flatnonzero(seq == 0), len(seq))
-    at = np.flatnonzero(seq)
-    at = at[zero[np.searchsorted(zero, at)] - at >= p.shortest]
-    if not len(at):
-        return at, np.zeros(0, "S8")
-    stop = zero[np.searchsorted(zero, at)]
-    padded = np.concatenate([seq, np.zeros(p.depth, seq.dtype)])
-    columns = np.stack([np.where(at + j < stop, padded[at + j], 0) for j in range(p.depth)], axis=1)
-    keys = pack_words(columns, p.bits)
-    order = np.lexsort(keys.T[::-1])
-    return at[order], as_text(keys[order])
+    return Probes(number, bits, low[index], high[index], np.array(sizes, np.int64)[index], first, take(owner), take(place), [name for name, _ in items])
+
+
+class Shard:
+    """The suffix array of a shard's words. Words outside the benchmark and document ends are 0; a suffix ends there, and
+    one that is empty for that reason, so that it equals no suffix of the benchmark, has no entry."""
+
+    def __init__(self, seq: np.ndarray, bits: int) -> None:
+        self.per, n = max(1, 63 // bits), len(seq)
+        padded, on = np.concatenate([seq, np.zeros(self.per, seq.dtype)]), np.ones(n, bool)
+        #: The first words of each suffix as one key.
+        self.head = np.zeros(n + 1, np.uint64)
+        for j in range(self.per):
+            on &= padded[j : j + n] != 0
+            self.head[:-1] |= np.where(on, padded[j : j + n], 0).astype(np.uint64) << np.uint64(bits * (self.per - 1 - j))
+        at = np.flatnonzero(seq)
+        ends = np.append(np.flatnonzero(seq == 0), n)
+        #: Words of each suffix.
+        self.length = np.zeros(n + 1, np.int64)
+        self.length[at] = ends[np.searchsorted(ends, at)] - at
+        self.order = at[np.argsort(self.head[at], kind="stable")]
+        self._refine()
+
+    def _refine(self) -> None:
+        """Suffixes equal in their first words are told apart by the ranks of what follows; the width known doubles each time."""
+        sa, width = self.order, self.per
+        if not len(sa):
+            return
+        key = self.head[sa]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        # A rank is the place of the first suffix that is equal so far; the empty suffix has 0.
+        rank = np.zeros(len(self.head), np.int64)
+        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(len(sa)), 0)) + 1
+        while True:
+            alone = new & np.append(new[1:], True)
+            tied = np.flatnonzero(~alone & (self.length[sa] > width))
+            if not len(tied):
+                return
+            # Equal ranks mean equal lengths up to the width, so that groups stay together.
+            pos = sa[tied]
+            first, second = rank[pos], rank[np.minimum(pos + width, len(rank) - 1)]
+            by = np.lexsort((second, first))
+            pos, first, second = pos[by], first[by], second[by]
+            sa[tied] = pos
+            change = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+            rank[pos] = tied[np.maximum.accumulate(np.where(change, np.arange(len(tied)), 0))] + 1
+            new[tied] |= change
+            width *= 2
+
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, skip: int, value: np.ndarray, after: bool) -> np.ndarray:
+        """Binary search inside each interval for the first suffix whose key after ``skip`` words is not below (``after``: above) the value."""
+        lo, hi = lo.copy(), hi.copy()
+        while True:
+            open_ = np.flatnonzero(lo < hi)
+            if not len(open_):
+                return lo
+            mid = (lo[open_] + hi[open_]) >> 1
+            at = self.order[mid]
+            key = np.where(self.length[at] > skip, self.head[np.minimum(at + skip, len(self.head) - 1)], 0)
+            left = key <= value[open_] if after else key < value[open_]
+            lo[open_] = np.where(left, mid + 1, lo[open_])
+            hi[open_] = np.where(left, hi[open_], mid)
+
+    def interval(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of packed keys the suffixes that lie between the two, as an interval of the array."""
+        lo, hi = np.zeros(len(low), np.int64), np.full(len(low), len(self.order), np.int64)
+        for k in range(low.shape[1] if len(low) else 0):
+            lo, hi = self._bound(lo, hi, k * self.per, low[:, k], False), self._bound(lo, hi, k * self.per, high[:, k], True)
+        return lo, np.maximum(lo, hi)
 
 
 def matches(seq: np.ndarray, p: Probes) -> tuple[np.ndarray, np.ndarray]:
     """All occurrences: the position in the training text and the number of the window."""
-    at, keys = suffix_array(seq, p)
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lo, hi = np.searchsorted(keys, p.low, "left"), np.searchsorted(keys, p.high, "right")
+    shard = Shard(seq, p.bits)
+    lo, hi = shard.interval(p.low, p.high)
     n = hi - lo
     k = np.repeat(np.arange(len(n)), n)
-    return at[lo[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)], k
+    return shard.order[lo[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)], k
 
 
 def _search(shared, last: bool, one_in: int):
@@ -187,10 +229,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     word intervals of the document that occurrences cover, ``items`` the ids (as text, sorted, each
     once) of the items with an occurring window, ``longest`` the words of the longest verbatim match.
 
-    Each block of documents is a shard with a suffix array over its words; every distinct suffix of
-    the benchmark that starts a window is binary-searched in it. Nothing is shuffled. The benchmark
-    is read to the driver in slices of ``slice_bytes`` and each slice broadcast; with several, the
-    documents pass one slice after another in the same stage.
+    Each block of documents is a shard with an array of all its suffixes, in full order; every
+    distinct suffix of the benchmark that starts a window is binary-searched in it, and the interval
+    found locates its occurrences. Occurrences that follow each other make the longest matches.
+    Nothing is shuffled. The benchmark is read to the driver in slices of ``slice_bytes`` and each
+    slice broadcast; with several, the documents are written after each, so that a task holds one.
 
     Null texts have no words; items without words have no windows; a null item id is listed as an
     empty string, and items that share an id count once. Repeated documents give repeated rows, an
@@ -206,5 +249,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         shared = spark.sparkContext.broadcast(probes([(r.item, bytes(r.raw)) for r in some.collect()], window))
         last = k == slices - 1
         schema = "doc_id long, spans array<struct<start:long,end:long>>, items array<string>, longest long, n_words long, n_hit long, contaminated boolean" if last else "doc_id long, raw binary, spans binary, items array<string>, longest long"
-        rows = map_arrow(rows, _search(shared, last, one_in), schema)
-    return rows
+        found = map_arrow(rows, _search(shared, last, one_in), schema)
+        if last:
+            return found
+        rows, before = saved(found, "slices"), rows
+        shared.destroy()
+        if k:
+            drop(before)
