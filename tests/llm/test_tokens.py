@@ -96,7 +96,7 @@ def test_buckets_are_optimal():
         lengths = [r.randint(1, 12) ** 2 for _ in range(r.randint(1, 30))]
         uppers, counts = np.unique(lengths, return_counts=True)
         for k in (1, 2, 3, 4):
-            ends = best_buckets(uppers, counts, uppers * counts, k)
+            ends = best_buckets(uppers, counts, k)
             assert ends[-1] == max(lengths) and len(ends) == min(k, len(uppers))
             assert sum(min(e for e in ends if e >= n) - n for n in lengths) == brute_padding(lengths, k)
 
