@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import MEMOS, batch, blocks, map_arrow, texts
+from lectern.llm.common import MEMOS, batch, binaries, blocks, map_arrow, texts
 from lectern.llm.words import MEMO_WORDS, mix
 
 #: log2 of the number of weights.
 BITS = 20
 BLOCK_BYTES = 4 << 20
-#: Bound of the training sample: documents of one class, and bytes of text of one class.
+#: Bound of the training sample: labelled documents of one class.
 SAMPLE_ROWS = 2048
-SAMPLE_BYTES = 16 << 20
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: A word's form counts 1 to 8 letters apart; the longest of a symbol run counts 4 signs.
 _LETTERS, _SIGNS = 8, 4
@@ -35,17 +34,18 @@ def _form(word: str) -> str:
 
 
 class _Numbers(dict):
-    """Word to its place in two growing lists: hash of the lower-cased word, and hash of its form."""
+    """Word to its place in two growing arrays: hash of the lower-cased word, and hash of its form."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.word: list[int] = []
-        self.form: list[int] = []
+        self.word, self.form = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
-        self.word.append(xxhash.xxh3_64_intdigest(word.lower()))
-        self.form.append(xxhash.xxh3_64_intdigest(_form(word), seed=1))
+        if n == len(self.word):
+            self.word, self.form = (np.concatenate([x, np.zeros_like(x)]) for x in (self.word, self.form))
+        self.word[n] = xxhash.xxh3_64_intdigest(word.lower())
+        self.form[n] = xxhash.xxh3_64_intdigest(_form(word), seed=1)
         return n
 
 
@@ -77,11 +77,10 @@ def vector(text: str, forms: bool) -> tuple[np.ndarray, np.ndarray]:
         _forget()
     tokens = _TOKEN.findall(text)
     at = np.fromiter(map(_NUMBERS.__getitem__, tokens), np.int64, len(tokens))
-    look = lambda table: np.array([table[i] for i in at.tolist()], np.uint64)
-    w = look(_NUMBERS.word)
+    w = _NUMBERS.word[at]
     grams = [_gram(w, kind=1), _gram(w[:-1], w[1:], kind=2)]
     if forms:
-        f, same = look(_NUMBERS.form), np.zeros(len(w), np.uint64)
+        f, same = _NUMBERS.form[at], np.zeros(len(w), np.uint64)
         same[1:] = w[1:] == w[:-1]
         f2 = f + same
         grams += [_gram(f2[:-1], f2[1:], kind=3), _gram(f2[:-2], f2[1:-1], f2[2:], kind=4), _gram(same[1:], kind=5)]
@@ -95,23 +94,23 @@ def crc_fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sampled_texts(docs: DataFrame, ids: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[str]:
-    """Whole texts of at most ``rows`` of the ids and ``size`` bytes, picked by a hash of the id.
+def sampled_vectors(docs: DataFrame, ids: DataFrame, make: Callable[[str], tuple[np.ndarray, np.ndarray]], rows: int = SAMPLE_ROWS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of the whole texts of at most ``rows`` of the ids, picked by a hash of the id and listed by id.
 
-    ``docs`` has ``doc_id`` and ``text``. The ids are chosen first; their number is fixed, so they
-    are broadcast. A text that would go beyond the bytes is left out as a whole.
+    ``docs`` has ``doc_id`` and ``text``; of several texts under one id the greatest counts. The ids
+    are chosen first; their number is fixed, so they are broadcast. Vectors are made where the texts
+    are: a vector has an entry for each different n-gram, and texts never reach the driver.
     """
     picked = ids.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(rows)
-    found = docs.join(F.broadcast(picked), "doc_id", "left_semi")
-    sizes = found.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").collect()
-    chosen, total = [], 0
-    for r in sizes:
-        if total + r.n <= size:
-            chosen.append((r.doc_id,))
-            total += r.n
-    few = docs.sparkSession.createDataFrame(chosen, "doc_id long")
-    out = docs.join(F.broadcast(few), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).orderBy("doc_id")
-    return [r.text for r in out.collect()]
+    found = docs.join(F.broadcast(picked), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+
+    def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text", BLOCK_BYTES):
+            some = [make(t) for t in b.column(1).to_pylist()]
+            yield batch(doc_id=b.column(0), index=binaries([i.astype(np.int32).tobytes() for i, _ in some]), value=binaries([v.astype(np.float32).tobytes() for _, v in some]))
+
+    out = sorted(map_arrow(found, vectors, "doc_id long, index binary, value binary").collect())
+    return [(np.frombuffer(r["index"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in out]
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float, forms: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.features import BITS, SAMPLE_BYTES, SAMPLE_ROWS, crc_fold, sampled_texts, scored, texts, vector
+from lectern.llm.features import BITS, SAMPLE_ROWS, crc_fold, sampled_vectors, scored, texts, vector
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -48,12 +48,17 @@ def ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, impor
     return Model(every[:n], float(every[n]))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
-    """Fit on whole texts of at most ``rows`` documents and ``size`` bytes of either label, none of the held-out fold.
+def _vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return vector(text, True)
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = SAMPLE_ROWS) -> Model:
+    """Fit on whole texts of at most ``rows`` documents of either label, none of the held-out fold.
 
     Documents of a label stand for all labelled documents of that label: they are weighted by how
     many there are (both labels together have mean weight 1). A document with several labels counts
-    as its largest; null labels and null ids are left out.
+    as its largest, one with several texts by its greatest; null labels and null ids are left out.
+    Without labels or documents the weights are 0.
     """
     docs = texts(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
@@ -61,8 +66,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     total = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     vectors, y, weight = [], [], []
     for label in (0, 1):
-        found = sampled_texts(docs, known.where(F.col("label") == label), rows, size) if total.get(label) else []
-        vectors += [vector(t, True) for t in found]
+        found = sampled_vectors(docs, known.where(F.col("label") == label), _vector, rows) if total.get(label) else []
+        vectors += found
         y += [label] * len(found)
         weight += [total.get(label, 0) / max(1, len(found))] * len(found)
     w = np.array(weight)
