@@ -22,10 +22,18 @@ BLOCK_BYTES = 8 << 20
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{64,}={0,2}")
-_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{96,}(?![0-9A-Za-z])")
+#: Armour whose body is base64 with white space, line ends as escapes (``\n`` inside a JSON string), and header lines.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nrt]|(?:Proc-Type|DEK-Info|Comment):[^\n\\]*+)+?)-----END \1-----")
+_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Comment):[^\n\\]*")
+_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED[\s\S]*DEK-Info:\s*[A-Z0-9-]+,\s*([0-9A-Fa-f]{16,32})\b")
+#: Three parts; the first is base64 of a JSON object, so of "{" and white space or a quotation mark.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[w-y][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: Shortest base64 and hexadecimal runs that are decoded: of the smallest key the parsers accept, 23 bytes of SEC1 with 16 of key.
+LEAST_BYTES = 23
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/_-]{%d,}={0,2}|(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]{44,}={0,2}" % (-(-LEAST_BYTES * 4 // 3) - 1))
+_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:30|6[fF]70656[eE]737368)[0-9A-Fa-f]{%d,}(?![0-9A-Za-z])" % (2 * LEAST_BYTES - 2))
+#: Base64 wrapped over lines without armour: full lines of one width from 60 to 76, then a shorter one.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?=M|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/]{60,76}(?:\r?\n[A-Za-z0-9+/]{1,76}={0,2})+(?![A-Za-z0-9+/=])")
 _OPENSSH = b"openssh-key-v1\x00"
 #: DER of the algorithm identifiers that a PKCS#8 key can name: RSA, EC, Ed25519, Ed448, X25519, X448, DSA.
 _ALGORITHMS = tuple(bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b6571", "2b656e", "2b656f", "2a8648ce380401"))
@@ -133,16 +141,38 @@ def signed_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def _is_key(data: bytes | None) -> bool:
+    return bool(data) and (private_key_der(data) is not None or private_key_openssh(data))
+
+
+def pem_body(body: str) -> bool:
+    """Whether the text between the armour lines decodes to a key; with headers that say so, to whole cipher blocks."""
+    plain = re.sub(r"\\[nrt]", "\n", body)
+    data = _decode64(_HEADER.sub("", plain))
+    if _is_key(data):
+        return True
+    named = _ENCRYPTED.search(plain)
+    block = len(named[1]) // 2 if named else 0
+    return bool(data) and block in (8, 16) and len(data) % block == 0
+
+
 def _structured(text: str) -> Iterator[tuple[int, int, str]]:
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            data = _decode64(m[2])
-            if data and (private_key_der(data) or private_key_openssh(data)):
+            if pem_body(m[2]):
                 yield m.start(), m.end(), "pem"
-    if "eyJ" in text:
+    if "." in text:
         for m in _JWT.finditer(text):
             if signed_token(m[1], m[2]):
                 yield m.start(), m.end(), "jwt"
+    for m in _WRAPPED.finditer(text):
+        lines = m[0].split()
+        # A key ends where its own length says, which may be some lines before the run does.
+        for k in range(len(lines), 1, -1):
+            if len({len(x) for x in lines[: k - 1]}) == 1 and len(lines[k - 1]) <= len(lines[0]) and _is_key(data := _decode64("".join(lines[:k]))):
+                end = m.start() + re.match(r"(?:\S+\s+){%d}\S+" % (k - 1), m[0]).end()
+                yield m.start(), end, "ssh" if private_key_openssh(data) else "key64"
+                break
     for m in _BASE64.finditer(text):
         data = _decode64(m[0])
         if data and private_key_der(data):
@@ -150,7 +180,7 @@ def _structured(text: str) -> Iterator[tuple[int, int, str]]:
         elif data and private_key_openssh(data):
             yield m.start(), m.end(), "ssh"
     for m in _ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and (private_key_der(data := bytes.fromhex(m[0])) or private_key_openssh(data)):
+        if len(m[0]) % 2 == 0 and _is_key(bytes.fromhex(m[0])):
             yield m.start(), m.end(), "keyhex"
 
 
@@ -171,8 +201,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``.
 
     The three base kinds are found by pattern alone. Structural confirmation adds spans: PEM blocks,
-    base64 and hexadecimal runs count only if they decode to a private key whose nested lengths fill
-    each other, three-part tokens only if their header names an algorithm. Spans of several kinds
+    base64 and hexadecimal runs (base64 also wrapped over lines) count only if they decode to a
+    private key whose nested lengths fill each other, encrypted PEM only if its headers name a cipher
+    whose blocks the body fills, three-part tokens only if their header names an algorithm. Spans of several kinds
     may overlap. ``spans`` lists all as kind:start:end, ``base_sha256`` hashes the list of base
     spans. A null or empty text has no spans (an empty list is hashed); repeated rows give repeated
     rows, an empty input gives none, and other columns are ignored. Nothing is shuffled.
