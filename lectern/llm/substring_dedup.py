@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import batch, binaries, bitmap, blocks, map_arrow, runs, saved, slots_for, texts, with_member
-from lectern.llm.words import split, window_hashes, word_hashes
+from lectern.llm.words import split, window_checks, window_hashes, word_hashes
 
 WINDOW = 20
 #: Bytes of text in one block; a block sends each of its windows once.
@@ -19,19 +19,21 @@ BLOCK_BYTES = 12 << 20
 TASK_WINDOWS = 1_000_000
 WORD_BYTES = 6
 _NULL_ID = np.iinfo(np.int64).min
-_SENT = "key long, block long, ids binary, counts binary, hashes binary, marks binary, parts binary"
+_SENT = "key long, block long, ids binary, counts binary, hashes binary, checks binary, marks binary, parts binary"
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def windows_of(h: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and hash of every window that lies within one row, by row and start."""
+def windows_of(h: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, hash and check of every window that lies within one row, by row and start."""
     per = np.maximum(n - window + 1, 0)
     rows = np.repeat(np.arange(len(n)), per)
     at = (np.cumsum(n) - n)[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(per) - per, per)
-    return rows, window_hashes(h, window)[at] if len(at) else np.zeros(0, np.uint64)
+    if not len(at):
+        return rows, np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+    return rows, window_hashes(h, window)[at], window_checks(h, window)[at]
 
 
 def _least(ids: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -53,31 +55,31 @@ def _send(window: int, parts: int, kind: type):
             raw = b.column(1).to_pylist()
             h, n = word_hashes([raw[i] for i in order], split)
             del raw
-            rows, hashes = windows_of(h, n, window)
+            rows, hashes, checks = windows_of(h, n, window)
             by = np.argsort(hashes, kind="stable")
-            sorted_h, sorted_row = hashes[by], rows[by]
+            sorted_h, sorted_c, sorted_row = hashes[by], checks[by], rows[by]
             new = np.ones(len(by), bool)
-            new[1:] = sorted_h[1:] != sorted_h[:-1]
+            new[1:] = (sorted_h[1:] != sorted_h[:-1]) | (sorted_c[1:] != sorted_c[:-1])
             least = _least(ids[sorted_row], new)
             again = np.zeros(len(by), bool)
             again[1:] = ~new[1:] & (sorted_row[1:] == sorted_row[:-1])
             here = np.empty(len(by), bool)
             here[by] = again | (ids[sorted_row] > least)
-            del by, sorted_h, sorted_row, new, least, again
+            del by, sorted_h, sorted_c, sorted_row, new, least, again
             sent = np.flatnonzero(~here)
             part = ((hashes[sent] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(kind)
             order = np.argsort(part, kind="stable")
             sent, in_part = sent[order], part[order]
             cuts = np.flatnonzero(np.diff(in_part.astype(np.int64), prepend=-1, append=-1)).tolist()
             block = first + k
-            out = [[-1 - block, block, ids.tobytes(), n.tobytes(), keys.tobytes(), np.packbits(here).tobytes(), part.tobytes()]]
+            out = [[-1 - block, block, ids.tobytes(), n.tobytes(), keys.tobytes(), None, np.packbits(here).tobytes(), part.tobytes()]]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 some = rows[sent[i:j]]
                 at = np.flatnonzero(np.diff(some, prepend=-1))
-                out.append([int(in_part[i]), block, ids[some[at]].tobytes(), np.diff(at, append=len(some)).astype(np.uint32).tobytes(), hashes[sent[i:j]].tobytes(), None, None])
+                out.append([int(in_part[i]), block, ids[some[at]].tobytes(), np.diff(at, append=len(some)).astype(np.uint32).tobytes(), hashes[sent[i:j]].tobytes(), checks[sent[i:j]].tobytes(), None, None])
             for i in range(0, len(out), 64):
                 key, blk, *rest = zip(*out[i : i + 64], strict=True)
-                names = ("ids", "counts", "hashes", "marks", "parts")
+                names = ("ids", "counts", "hashes", "checks", "marks", "parts")
                 yield batch(key=pa.array(key, pa.int64()), block=pa.array(blk, pa.int64()), **{c: binaries(list(x)) for c, x in zip(names, rest, strict=True)})
 
     return run
@@ -88,15 +90,15 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in runs(batches, ["key"]):
         if t.column("key")[0].as_py() < 0:
             for b in t.to_batches():
-                yield batch(block=b.column(1), part=b.column(0), ids=b.column(2), counts=b.column(3), keys=b.column(4), marks=b.column(5), parts=b.column(6))
+                yield batch(block=b.column(1), part=b.column(0), ids=b.column(2), counts=b.column(3), keys=b.column(4), marks=b.column(6), parts=b.column(7))
             continue
         hashes = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
         ids = [np.repeat(np.frombuffer(a.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32)) for a, c in zip(t.column("ids"), t.column("counts"), strict=True)]
-        h, d = np.concatenate(hashes), np.concatenate(ids)
-        by = np.lexsort((d, h))
-        sh, sd = h[by], d[by]
+        h, d, c = np.concatenate(hashes), np.concatenate(ids), np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in t.column("checks")])
+        by = np.lexsort((d, c, h))
+        sh, sd, sc = h[by], d[by], c[by]
         new = np.ones(len(by), bool)
-        new[1:] = sh[1:] != sh[:-1]
+        new[1:] = (sh[1:] != sh[:-1]) | (sc[1:] != sc[:-1])
         later = np.empty(len(by), bool)
         later[by] = sd > _least(sd, new)
         bits = [np.packbits(x).tobytes() for x in np.split(later, np.cumsum([len(x) for x in hashes])[:-1])]
@@ -160,9 +162,12 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str
     starts earlier: in a document of smaller id, or earlier in the same one. ``spans`` are the
     maximal removal intervals (word positions, end exclusive). Windows are judged on the input.
 
-    Every window is hashed (Rabin-Karp, 64 bits). A block of documents sends each distinct window
-    once, packed, to the part of the hash space that counts it, so that a passage found everywhere
-    costs one entry per block; marks come back as one bit per window. Only documents that lose
+    Every window is hashed (Rabin-Karp, 64 bits and a check of 16 from a second hash; in 5e9 distinct
+    windows, of 30 GB of text, the chance that any two are taken for one is about 1 in 100,000). A
+    block of documents sends each distinct window once, packed, to the part of the hash space that
+    counts it, so that a passage found everywhere costs one entry per block; marks come back as one
+    bit per window. A counting task holds about ``TASK_WINDOWS`` windows; messages number blocks
+    times parts, 12 million at 30 GB, and approach one per window as the input nears 1 TB. Only documents that lose
     words are shuffled with their text, found by a bitmap of fixed size.
 
     Null ids count as smaller than any other. Rows that share an id are equally early: none of them
@@ -174,7 +179,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str
     parts = max(1, int(size / WORD_BYTES / TASK_WINDOWS))
     kind = np.uint8 if parts <= 1 << 8 else np.uint16 if parts <= 1 << 16 else np.uint32
     sent = map_arrow(rows, _send(window, parts, kind), _SENT)
-    counted = map_arrow(sent.repartition(parts, "key").sortWithinPartitions("key"), _count, "block long, part long, ids binary, counts binary, keys binary, marks binary, parts binary")
+    # Each range of the hash space is dealt to a task of its own, by its number.
+    dealt = sent.repartitionById(parts, F.pmod("key", F.lit(parts)).cast("int")).sortWithinPartitions("key")
+    counted = map_arrow(dealt, _count, "block long, part long, ids binary, counts binary, keys binary, marks binary, parts binary")
     found = saved(map_arrow(counted.repartition("block").sortWithinPartitions("block"), _gather(window, kind), "of long, text_hash long, spans binary"), "passages")
     spans = found.groupBy("of", "text_hash").agg(F.first("spans").alias("spans"))
     number = F.coalesce(F.col("doc_id"), F.lit(int(_NULL_ID)))

@@ -59,6 +59,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 
 
+def window_checks(h: np.ndarray, size: int) -> np.ndarray:
+    """16 more bits of every window: the top of a second Rabin-Karp hash, modulo 2^32 with a base of its own, of other bits of the words."""
+    x = mix(h ^ np.uint64(0xD6E8FEB86659FD93)).astype(np.uint32)
+    if len(x) < size:
+        return np.zeros(0, np.uint16)
+    n, out = len(x) - size + 1, np.zeros(max(0, len(x) - size + 1), np.uint32)
+    for i in range(size):
+        out *= np.uint32(0x915F77F5)
+        out += x[i : i + n]
+    out ^= out >> np.uint32(15)
+    out *= np.uint32(0x2C1B3C6D)
+    return (out >> np.uint32(16)).astype(np.uint16)
+
+
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """Rabin-Karp hash modulo 2^64 of every ``size`` consecutive words, by doubling; scrambled at the end."""
     if len(h) < size:
