@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lectern.llm.decontaminate import find_contamination
+from lectern.llm.decontaminate import Shard, find_contamination
 from lectern.llm.features import vector as quality_vector
 from lectern.llm.quality import ftrl, score_quality, train_quality
 from lectern.llm.secrets import private_key_der, scan_secrets, secret_spans, signed_token
@@ -192,3 +192,32 @@ def docs_marker():
     from pyspark.sql import functions as F
 
     return F.lit("x")
+
+
+def test_suffix_array_is_in_full_order():
+    r = random.Random(1)
+    for _ in range(200):
+        v = r.choice([2, 5, 3000])
+        seq = np.array([r.randint(0, v) for _ in range(r.randint(1, 150))])
+        if r.random() < 0.3:
+            seq = np.concatenate([seq, [0], seq])
+        shard = Shard(seq, (v + 1).bit_length())
+        suffixes = [seq[p : p + shard.length[p]].tolist() for p in shard.order]
+        assert suffixes == sorted(suffixes) and len(suffixes) == np.count_nonzero(seq)
+
+
+def test_structure_in_disguise():
+    kinds = lambda t: [k for _, _, k in secret_spans(t)[1]]
+    key = rsa_key()
+    text = base64.b64encode(key).decode()
+    wrapped = "\n".join(text[i : i + 64] for i in range(0, len(text), 64))
+    small = der(0x30, der(2, b"\1") + der(4, b"\x55" * 32))
+    assert kinds("a " + base64.b64encode(small).decode() + " b") == ["key64"] and "keyhex" in kinds(small.hex())
+    assert kinds(f"x\n{wrapped}\n\nend") == ["key64"] and kinds(f"{wrapped}\nmore text") == ["key64"]
+    escaped = wrapped.replace("\n", r"\n")
+    assert kinds(rf"-----BEGIN RSA PRIVATE KEY-----\n{escaped}\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    body = base64.b64encode(bytes(range(256))).decode()
+    sealed = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n{}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(sealed.format(body)) == ["pem"] and kinds(sealed.format(body[:-8])) == []
+    header = base64.urlsafe_b64encode(b'{ "alg": "HS256" }').decode().rstrip("=")
+    assert kinds(f"see {header}.{b64u({'a': 1})}.sig") == ["jwt"]
