@@ -209,10 +209,12 @@ def answered(rows: DataFrame, answers: DataFrame, key: list[str], weight: str, v
     are broadcast and their rows spread evenly over the tasks of the join, so that no group of rows,
     however large, meets in one task.
     """
+    # Always 0, but no literal: the optimizer would take that out of the join's keys.
+    nought = F.pmod(F.xxhash64(*key), F.lit(1)).cast("long")
     top = answers.orderBy(F.desc(weight), *key).limit(TOP_GROUPS).select(*[F.col(k).alias(f"_top_{k}") for k in key], F.struct(*values).alias("_top"))
-    rest = answers.select(*[F.col(k).alias(f"_rest_{k}") for k in key], F.struct(*values).alias("_rest"), F.lit(-1).cast("long").alias("_none"))
+    rest = answers.select(*[F.col(k).alias(f"_rest_{k}") for k in key], F.struct(*values).alias("_rest"), nought.alias("_none"))
     on = lambda side: functools.reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{side}{k}") for k in key])
-    asked = rows.join(F.broadcast(top), on("_top_"), "left").withColumn("_spread", F.when(F.col("_top").isNull(), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    asked = rows.join(F.broadcast(top), on("_top_"), "left").withColumn("_spread", F.when(F.col("_top").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1))
     out = asked.join(rest, on("_rest_") & (F.col("_spread") == F.col("_none")), "left")
     return out.select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"_top.{v}", f"_rest.{v}").alias(v) for v in values])
 
