@@ -19,6 +19,7 @@ GATE_PHRASES = (
     "purchase article", "access the full article", "get full access to this article", "get access", "access this article",
     "buy article pdf", "buy now", "sign in to access", "view access options",
     "view all access options to continue reading this article", "institutional login",
+    "this is a preview of subscription content",
 )
 
 # Headings by category.
@@ -28,10 +29,14 @@ CODE_HEADINGS = ("code availability", "code availability statement", "software a
 BACK_HEADINGS = (
     "references", "references and notes", "bibliography", "electronic supplementary material", "supplementary material", "supplementary materials",
     "supplementary information", "supporting information", "notes", "acknowledgements", "acknowledgments", "author contributions", "funding",
+    "research funding", "ethics", "conflict of interest", "conflicts of interest", "competing interests", "statement of competing interests",
+    "disclosures",
 )
 SIDE_HEADINGS = (
-    "recommended", "related content", "metrics", "metrics & citations", "view options", "authors", "affiliations", "author information",
-    "information & authors", "information and authors", "citations", "submission history",
+    "recommended", "related content", "related articles", "metrics", "metrics & citations", "view options", "authors", "affiliations", "author information",
+    "information & authors", "information and authors", "citations", "submission history", "license information", "cite as", "export citation",
+    "cited by", "citing literature", "figures", "tables", "media", "share", "permissions", "eletters", "corresponding author",
+    "additional information", "rights and permissions", "profiles", "subscribe and save", "publisher's note", "publisher’s note", "open access",
 )
 FRONT_HEADINGS = ("keywords", "key points", "about this article", "author notes", "authors", "article information", "highlights", "graphical abstract")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,7 +96,7 @@ def expected_vs_actual(samples: DataFrame, manifest: DataFrame, key: str, field:
 
 def stop_markers(rows: DataFrame, key: str, order: str, text: str, markers: Sequence[str]) -> DataFrame:
     """Rows before the first one that starts with a marker, once content has begun; earlier marker rows are dropped alone."""
-    at = F.lower(F.trim(text)).rlike("^(?:" + "|".join(markers) + ")")
+    at = F.lower(F.trim(text)).rlike("^(?:" + "|".join(re.escape(m.lower()) for m in markers) + ")")
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     begun = F.max((~F.col("_at")).cast("int")).over(w)
     flagged = rows.withColumn("_at", at).withColumn("_begun", F.coalesce(begun, F.lit(0)))

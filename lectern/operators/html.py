@@ -1,13 +1,14 @@
 """HTML parsed once per page into ordered block rows; everything after that is relational.
 
 Recovery rules (the standard parser does no tree repair): void elements never nest; a ``p`` or ``li``
-that opens closes an open one of its kind; an end tag closes up to its nearest open element, and is
+that opens closes an open one of its kind, and so does an ``a``; an end tag closes up to its nearest open element, and is
 ignored where there is none; script, style and comment content is never text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,6 +27,8 @@ CHROME = frozenset(("nav", "footer", "header", "aside", "form", "button"))
 IDENTITY = ("id", "class", "role", "data-title", "aria-label", "itemprop", "data-type", "property", "name", "title", "data-test")
 CHROME_WORDS = frozenset(("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "cookie", "promo", "share", "sidebar", "social", "toolbar"))
 _SPACE = re.compile(r"\s+")
+#: Innermost elements that a row's path names.
+PATH = 32
 ROW = "pos int, kind string, tag string, level int, text string, identity string, path string, href string, chrome boolean, root int"
 
 
@@ -34,13 +37,16 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.stack: list[tuple[str, str, bool, int]] = []
-        self.texts: list[tuple[int, list[str]]] = []
+        #: Row of each open block and where its text begins among the parts.
+        self.texts: list[tuple[int, int]] = []
+        self.parts: list[str] = []
+        self.open: Counter[str] = Counter()
         self.number = 0
         self.skipping = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         values = dict(attrs)
-        if tag in ("p", "li") and any(t == tag for t, *_ in self.stack[-4:]):
+        if tag in ("p", "li") and any(t == tag for t, *_ in self.stack[-4:]) or tag == "a" and self.open["a"]:
             self.handle_endtag(tag)
         if tag == "br":
             self._say(" ")
@@ -53,10 +59,12 @@ class _Blocks(HTMLParser):
         identity = _SPACE.sub(" ", " ".join([tag, *(str(values[k]) for k in IDENTITY if values.get(k))])).strip().lower()
         chrome = tag in CHROME or not CHROME_WORDS.isdisjoint(identity.split()) or bool(self.stack and self.stack[-1][2])
         self.number += 1
-        self.stack.append((tag, identity, chrome, self.number))
+        root = self.number if tag in ("article", "main", "body") else self._root()
+        self.stack.append((tag, identity, chrome, root))
+        self.open[tag] += 1
         if tag in BLOCK or tag == "a":
-            self.rows.append({"tag": tag, "identity": identity, "href": values.get("href"), "chrome": chrome, "path": "/".join(t for t, *_ in self.stack), "root": self._root()})
-            self.texts.append((len(self.rows) - 1, []))
+            self.rows.append({"tag": tag, "identity": identity, "href": values.get("href"), "chrome": chrome, "path": self._path(), "root": root})
+            self.texts.append((len(self.rows) - 1, len(self.parts)))
             self.rows[-1]["depth"] = len(self.stack)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -65,10 +73,13 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 for t, *_ in self.stack[i:]:
                     self.skipping -= t in SKIP
+                    self.open[t] -= 1
                 del self.stack[i:]
                 while self.texts and self.rows[self.texts[-1][0]]["depth"] > len(self.stack):
                     self._close()
@@ -79,19 +90,25 @@ class _Blocks(HTMLParser):
             self._say(data)
 
     def _say(self, data: str) -> None:
-        for _, parts in self.texts:
-            parts.append(data)
+        if self.texts:
+            self.parts.append(data)
 
     def _root(self) -> int:
-        return next((n for t, _, _, n in reversed(self.stack) if t in ("article", "main", "body")), 0)
+        """Number of the nearest article, main or body element."""
+        return self.stack[-1][3] if self.stack else 0
+
+    def _path(self) -> str:
+        return "/".join(t for t, *_ in self.stack[-PATH:])
 
     def _row(self, tag: str, text: str, values: dict) -> None:
         chrome = bool(self.stack and self.stack[-1][2])
-        self.rows.append({"tag": tag, "identity": (values.get("name") or values.get("property") or "").lower(), "href": values.get("src"), "chrome": chrome, "path": "/".join(t for t, *_ in self.stack), "root": self._root(), "text": text})
+        self.rows.append({"tag": tag, "identity": (values.get("name") or values.get("property") or "").lower(), "href": values.get("src"), "chrome": chrome, "path": self._path(), "root": self._root(), "text": text})
 
     def _close(self) -> None:
-        i, parts = self.texts.pop()
-        self.rows[i]["text"] = _SPACE.sub(" ", "".join(parts)).strip()
+        i, begin = self.texts.pop()
+        self.rows[i]["text"] = _SPACE.sub(" ", "".join(self.parts[begin:])).strip()
+        if not self.texts:
+            self.parts.clear()
 
     def blocks(self) -> list[dict]:
         while self.texts:

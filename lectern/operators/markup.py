@@ -24,14 +24,27 @@ def _name(e: ET.Element) -> str:
     return e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
 
 
+#: Elements inside each other that a document may have; the renderers recurse.
+DEEPEST = 200
+
+
 def parse_xml(text: str | None) -> ET.Element | None:
-    """The root, or None for text that is no XML, or that declares a document type or entities."""
+    """The root, or None for text that is no XML, that declares a document type or entities, or that nests too deeply."""
     if not text or "<!DOCTYPE" in text or "<!ENTITY" in text:
         return None
     try:
-        return ET.fromstring(text.encode())
+        root = ET.fromstring(text.encode())
     except (ET.ParseError, ValueError):
         return None
+    return root if _depth(root) <= DEEPEST else None
+
+
+def _depth(root: ET.Element) -> int:
+    depth, level = 0, [root]
+    while level:
+        depth += 1
+        level = [k for e in level for k in e]
+    return depth
 
 
 # ------------------------------------------------------------------ MathML
@@ -224,14 +237,12 @@ def markdown_images(text: str | None) -> list[dict]:
 
 
 def _balanced(text: str, at: int, left: str, right: str) -> int:
+    """Place of the bracket that closes the one at ``at``; a bracket behind a backslash counts as text."""
     depth = 0
-    for i in range(at, len(text)):
-        c = text[i]
-        if c == "\\":
-            continue
-        depth += (c == left) - (c == right)
+    for m in re.compile(r"\\.|[%s%s]" % (re.escape(left), re.escape(right)), re.S).finditer(text, at):
+        depth += (m[0] == left) - (m[0] == right)
         if depth == 0:
-            return i
+            return m.start()
     return -1
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,14 @@ def limit_references(refs: DataFrame, key: str, mode: str, n: int = 10) -> DataF
 
 
 def figure_mentions(paragraphs: DataFrame, key: str, text: str = "text", order: str = "pos") -> DataFrame:
-    """``key, label, pos``: the first paragraph that mentions each figure number ("Figs 1, 2 and 3a")."""
-    groups = F.regexp_extract_all(F.lower(text), F.lit(r"fig(?:ure)?s?\.? ([0-9]+[a-z]?(?:(?:, ?| and | & |-|–)[0-9]+[a-z]?)*)"))
-    labels = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit("([0-9]+)[a-z]?"))))
+    """``key, label, pos``: the first paragraph that mentions each figure ("Figs 1, 2 and 3a", "Fig. S3").
+
+    A mention of a panel, such as 3a, also counts for its figure, 3.
+    """
+    number = "[a-z]?[0-9]+[a-z]?"
+    groups = F.regexp_extract_all(F.lower(text), F.lit(rf"\bfig(?:ure)?s?\.?\s+({number}(?:\s*(?:,|and|&)\s*{number}){{0,6}})"))
+    numbers = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(f"({number})"))))
+    labels = F.array_distinct(F.concat(numbers, F.transform(numbers, lambda x: F.regexp_replace(x, "([0-9])[a-z]$", "$1"))))
     return paragraphs.select(key, F.col(order).alias("pos"), F.explode(labels).alias("label")).groupBy(key, "label").agg(F.min("pos").alias("pos"))
 
 
@@ -66,18 +72,20 @@ def match_hints(headings: DataFrame, hints: DataFrame, key: str) -> DataFrame:
 
     ``headings``: key, pos, name; ``hints``: key, ord, name, kind. A heading matches the first hint after the last match.
     """
-    import pandas as pd
-
-    kind = dict(headings.dtypes)[key]
-    rows = headings.select(key, F.col("pos").cast("long").alias("at"), "name", F.lit(None).cast("string").alias("kind"), F.lit(0).alias("hint")).unionByName(hints.select(key, F.col("ord").cast("long").alias("at"), "name", "kind", F.lit(1).alias("hint")))
-
-    def match(f: pd.DataFrame) -> pd.DataFrame:
-        wanted = f[f["hint"] == 1].sort_values("at")[["name", "kind"]].values.tolist()
-        out, i = [], 0
-        for k, at, name in f[f["hint"] == 0].sort_values("at")[[key, "at", "name"]].values.tolist():
-            j = next((j for j in range(i, len(wanted)) if wanted[j][0] == name), None)
-            out.append((k, at, name, None if j is None else wanted[j][1]))
-            i = i if j is None else j + 1
-        return pd.DataFrame(out, columns=[key, "pos", "name", "kind"])
-
-    return rows.groupBy(key).applyInPandas(match, f"{key} {kind}, pos long, name string, kind string")
+    @F.pandas_udf("array<string>")
+    def match(names: pd.Series, hints: pd.Series) -> pd.Series:
+        out = []
+        for heads, wanted in zip(names, hints, strict=True):
+            found, i = [], 0
+            for name in heads:
+                j = next((j for j in range(i, len(wanted)) if wanted[j]["name"] == name), None)
+                found.append(None if j is None else wanted[j]["kind"])
+                i = i if j is None else j + 1
+            out.append(found)
+        return pd.Series(out)
+
+    heads = headings.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "name"))).alias("heads"))
+    wanted = hints.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "name", "kind"))).alias("hints"))
+    rows = heads.join(wanted, key, "left").withColumn("hints", F.coalesce(F.transform("hints", lambda h: F.struct(h["name"], h["kind"])), F.array().cast("array<struct<name:string,kind:string>>")))
+    rows = rows.select(key, F.explode(F.arrays_zip("heads", match(F.col("heads.name"), F.col("hints")).alias("kind"))).alias("h"))
+    return rows.select(key, F.col("h.heads.pos").alias("pos"), F.col("h.heads.name").alias("name"), F.col("h.kind").alias("kind"))

@@ -39,16 +39,16 @@ def expand(cells: DataFrame, key: str = "table_id") -> DataFrame:
     those before it, so that a table is placed as a whole; spreading over its span is an explode.
     """
 
-    def put(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["row", "cell"])
-        spots = place(list(zip(f["row"], f["rowspan"].fillna(1).astype(int), f["colspan"].fillna(1).astype(int), strict=True)))
-        if spots is None:
-            return f.iloc[:0].assign(at=[])[[key, "row", "at", "text", "is_header", "rowspan", "colspan"]]
-        return f.assign(at=[c for _, c in spots])[[key, "row", "at", "text", "is_header", "rowspan", "colspan"]]
-
-    kind = dict(cells.dtypes)[key]
-    rows = cells.select(key, F.col("row").cast("int"), F.col("cell").cast("int"), "text", "is_header", F.col("rowspan").cast("int"), F.col("colspan").cast("int"))
-    placed = rows.groupBy(key).applyInPandas(put, f"{key} {kind}, row int, at int, text string, is_header boolean, rowspan int, colspan int")
+    @F.pandas_udf("array<int>")
+    def columns(cells: pd.Series) -> pd.Series:
+        return pd.Series([None if (spots := place([tuple(c) for c in some])) is None else [c for _, c in spots] for some in cells])
+
+    number = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(1))
+    cell = F.struct(F.col("row").cast("int").alias("row"), F.col("cell").cast("int").alias("cell"), "text", "is_header", number("rowspan").alias("rowspan"), number("colspan").alias("colspan"))
+    whole = cells.groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    at = columns(F.transform("cells", lambda c: F.array(c["row"], c["rowspan"], c["colspan"])))
+    placed = whole.select(key, F.explode(F.arrays_zip("cells", at.alias("at"))).alias("c")).where("c.at IS NOT NULL")
+    placed = placed.select(key, "c.cells.row", "c.at", "c.cells.text", "c.cells.is_header", "c.cells.rowspan", "c.cells.colspan")
     last = placed.groupBy(key).agg(F.max("row").alias("_last"))
     span = lambda n: F.sequence(F.lit(0), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)) - 1)
     spread = placed.withColumn("i", F.explode(span(F.col("rowspan")))).withColumn("j", F.explode(span(F.col("colspan"))))

@@ -9,13 +9,15 @@ from lectern.operators import articles, assets, sections
 from lectern.plans.ordered_queries import _MD, _markdown
 from lectern.plans.registry import query, sql_words, table
 
-QUERIES_IN = [("10.1234/abc",), ("doi: 10.1234/ABC",), ("https://x.org/a",), ("Some title",), (" ",)]
-
-
-@query("""SELECT * FROM (VALUES ('10.1234/abc', 'doi', '10.1234/abc'), ('doi: 10.1234/ABC', 'doi', '10.1234/abc'), ('https://x.org/a', 'url', NULL), ('Some title', 'title', '10.1/t'), (' ', 'empty', NULL)) t(query, kind, doi)""")
+@query("""WITH w AS (SELECT p_name AS k, min('10.1/p' || p_partkey) AS doi FROM part GROUP BY p_name HAVING count(*) = 1)
+SELECT p.p_partkey AS id, unnest(['doi: 10.1234/AB' || p.p_partkey, 'https://x.org/' || p.p_partkey, upper(p.p_name), ' ']) AS query, unnest(['doi', 'url', 'title', 'empty']) AS kind, unnest(['10.1234/ab' || p.p_partkey, NULL, w.doi, NULL]) AS doi
+FROM part p LEFT JOIN w ON p.p_name = w.k""")
 def resolve_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    works = spark.createDataFrame([("10.1/t", "some title"), ("10.1/u", "other"), ("10.1/v", "other")], "doi string, title_key string")
-    return articles.resolve(spark.createDataFrame(QUERIES_IN, "query string"), works)
+    """Four queries for each part; the title resolves where one part alone has it."""
+    part, n = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    works = part.select(F.concat(F.lit("10.1/p"), n).alias("doi"), F.col("p_name").alias("title_key"))
+    asked = part.select(F.col("p_partkey").alias("id"), F.explode(F.array(F.concat(F.lit("doi: 10.1234/AB"), n), F.concat(F.lit("https://x.org/"), n), F.upper("p_name"), F.lit(" "))).alias("query"))
+    return articles.resolve(asked, works)
 
 
 @query("""WITH e AS (SELECT DISTINCT user_id, event_type FROM events) SELECT user_id, concat_ws(',', max(CASE WHEN event_type = 'purchase' THEN 'purchase' END), max(CASE WHEN event_type = 'click' THEN 'click' END)) AS evidence,
@@ -59,17 +61,21 @@ def asset_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.within_budget(rows, ["user_id"], ["event_id"], "size", 10, 500, 1500).select("user_id", "event_id")
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 'a.png'), (1, 1, 'a_2.png'), (1, 2, 'b_c'), (2, 0, 'a.png')) t(doc, pos, file)""")
+@query("""SELECT c_custkey AS doc, unnest([0, 1, 2, 3])::INT AS pos, unnest(['n' || c_nationkey || '.png', 'n' || c_nationkey || '_2.png', 'b_c', 'n' || c_nationkey || '_3.png']) AS file FROM customer""")
 def asset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, 0, "http://x/A.png"), (1, 1, "http://y/a.png?z"), (1, 2, "http://y/b%c"), (2, 0, "http://x/a.png")], "doc int, pos int, url string")
+    n = F.col("c_nationkey").cast("string")
+    urls = F.array(F.concat(F.lit("http://x/N"), n, F.lit(".png")), F.concat(F.lit("http://y/n"), n, F.lit(".png?z")), F.lit("http://y/b%c"), F.concat(F.lit("http://x/n"), n, F.lit(".png")))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.posexplode(urls).alias("pos", "url"))
     return assets.unique_names(rows, ["doc"], "url", "pos").select("doc", "pos", "file")
 
 
-@query("""SELECT * FROM (VALUES (1, 'r2', 'forbidden'), (1, 'r4', 'wrong_count')) t(doc, rule, problem)""")
+@query("""SELECT * FROM (SELECT doc_id, unnest(['r1', 'r2', 'r3', 'r4']) AS rule, unnest([CASE WHEN NOT contains(text, 'the') THEN 'missing' END, CASE WHEN contains(text, 'on ') THEN 'forbidden' END,
+CASE WHEN NOT regexp_matches(text, '^[A-Z]') THEN 'no_match' END, CASE WHEN len(regexp_extract_all(text, 'th')) <> 5 THEN 'wrong_count' END]) AS problem FROM documents) WHERE problem IS NOT NULL""")
 def markdown_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([(1, "# A\n\nfig fig b")], "doc int, md string")
-    rules = spark.createDataFrame([(1, "r1", "include", "# A", 0), (1, "r2", "exclude", "b", 0), (1, "r3", "regex", "^# ", 0), (1, "r4", "count", "fig", 3)], "doc int, rule string, kind string, pattern string, n int")
-    return articles.contract_issues(docs, rules, "doc", "md")
+    rule = lambda name, kind, pattern, n: F.struct(F.lit(name).alias("rule"), F.lit(kind).alias("kind"), F.lit(pattern).alias("pattern"), F.lit(n).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = docs.select("doc_id", F.explode(F.array(rule("r1", "include", "the", 0), rule("r2", "exclude", "on ", 0), rule("r3", "regex", "^[A-Z]", 0), rule("r4", "count", "th", 5))).alias("r")).select("doc_id", "r.*")
+    return articles.contract_issues(docs, rules, "doc_id", "text")
 
 
 @query("""SELECT s.doc_id, s.quality AS quality, 1 AS expected FROM labels s WHERE s.quality IS DISTINCT FROM 1""")

@@ -46,23 +46,29 @@ def container_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.container_scores(_blocks(spark, sf_dir))
 
 
-#: Cells of a small table whose header spans: table, row, cell, text, header, rowspan, colspan.
-CELLS = [(1, 0, 0, "Site", True, 2, 1), (1, 0, 1, "Yield", True, 1, 2), (1, 1, 0, "2020", True, 1, 1), (1, 1, 1, "2021", True, 1, 1), (1, 2, 0, "A", False, 1, 1), (1, 2, 1, "3", False, 1, 1), (1, 2, 2, "4", False, 1, 1), (2, 0, 0, "x", True, 1, 3), (2, 1, 0, "y", False, 1, 2)]
-
-
-def _cells(spark: SparkSession) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each part: a head of two rows with spans, and a row of values."""
     ship(spark)
-    return spark.createDataFrame(CELLS, "table_id long, row int, cell int, text string, is_header boolean, rowspan int, colspan int")
+    cell = lambda row, at, text, head, down, across: F.struct(F.lit(row).alias("row"), F.lit(at).alias("cell"), text.cast("string").alias("text"), F.lit(head).alias("is_header"), F.lit(down).alias("rowspan"), F.lit(across).alias("colspan"))
+    cells = [
+        cell(0, 0, F.col("p_type"), True, 2, 1), cell(0, 1, F.col("p_brand"), True, 1, 2), cell(1, 0, F.lit("size"), True, 1, 1), cell(1, 1, F.col("p_brand"), True, 1, 1),
+        cell(2, 0, F.col("p_partkey"), False, 1, 1), cell(2, 1, F.col("p_size"), False, 1, 1), cell(2, 2, F.concat(F.col("p_name"), F.lit("|x")), False, 1, 1),
+    ]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("table_id"), F.explode(F.array(*cells)).alias("c")).select("table_id", "c.*")
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 0, 0, 'Site'), (1, 0, 1, 'Yield'), (1, 0, 2, 'Yield'), (1, 1, 0, 'Site'), (1, 1, 1, '2020'), (1, 1, 2, '2021'), (1, 2, 0, 'A'), (1, 2, 1, '3'), (1, 2, 2, '4')) t(table_id, "row", col, text)""")
+@query("""SELECT p_partkey::BIGINT AS table_id, unnest([0, 0, 0, 1, 1, 1, 2, 2, 2])::INT AS "row", unnest([0, 1, 2, 0, 1, 2, 0, 1, 2])::INT AS col,
+unnest([p_type, p_brand, p_brand, p_type, 'size', p_brand, p_partkey::VARCHAR, p_size::VARCHAR, p_name || '|x']) AS text FROM part""")
 def span_expand_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.expand(_cells(spark)).select("table_id", "row", "col", "text")
+    return tables.expand(_cells(spark, sf_dir)).select("table_id", "row", "col", "text")
 
 
-@query("""SELECT 1::BIGINT AS table_id, '| Site | Yield / 2020 | Yield / 2021 |' || chr(10) || '| ---- | ------------ | ------------ |' || chr(10) || '| A    | 3            | 4            |' AS markdown""")
+@query(r"""WITH t AS (SELECT p_partkey::BIGINT AS table_id, [p_type, p_brand || ' / size', p_brand] AS h, [p_partkey::VARCHAR, p_size::VARCHAR, p_name || '\|x'] AS v FROM part),
+w AS (SELECT table_id, h, v, [greatest(3, length(h[i]), length(v[i])) for i in range(1, 4)] AS w FROM t)
+SELECT table_id, '| ' || array_to_string([rpad(h[i], w[i]::INT, ' ') for i in range(1, 4)], ' | ') || ' |' || chr(10) || '| ' || array_to_string([repeat('-', w[i]) for i in range(1, 4)], ' | ') || ' |' || chr(10)
+|| '| ' || array_to_string([rpad(v[i], w[i]::INT, ' ') for i in range(1, 4)], ' | ') || ' |' AS markdown FROM w""")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.to_markdown(tables.expand(_cells(spark)))
+    return tables.to_markdown(tables.expand(_cells(spark, sf_dir)))
 
 
 @query()
@@ -71,42 +77,48 @@ def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.html_cells(table(spark, sf_dir, "pages"))
 
 
-@query("""WITH a(doc, url, path) AS (VALUES (1, 'http://x/a.png', 'p/a.png'), (1, 'http://x/sub/b.png', 'p/b.png'), (1, 'http://y/c.png', 'p/c1.png'), (1, 'http://z/c.png', 'p/c2.png')),
-l(doc, url) AS (VALUES (1, 'http://x/a.png'), (1, 'B.PNG?x=1'), (1, 'c.png'), (2, 'a.png')),
-b AS (SELECT doc, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1)) AS base, min(path) AS path FROM a GROUP BY 1, 2 HAVING count(DISTINCT path) = 1)
-SELECT l.doc, l.url, coalesce(a.path, b.path, l.url) AS path FROM l LEFT JOIN a ON l.doc = a.doc AND l.url = a.url LEFT JOIN b ON l.doc = b.doc AND lower(regexp_extract(regexp_replace(l.url, '[?#].*$', ''), '([^/]*)$', 1)) = b.base""")
+@query(r"""WITH a AS (SELECT page_id AS doc, url || '/a.png' AS url, 'p/' || page_id || '-a.png' AS path FROM pages UNION ALL SELECT page_id, 'http://x/sub/b' || page_id || '.png', 'p/b.png' FROM pages
+UNION ALL SELECT page_id, 'http://y/c.png', 'p/c1.png' FROM pages UNION ALL SELECT page_id, 'http://z/c.png', CASE WHEN page_id % 2 = 0 THEN 'p/c2.png' ELSE 'p/c1.png' END FROM pages),
+l AS (SELECT page_id AS doc, unnest([url || '/a.png', 'B' || page_id || '.PNG?x=1', 'c.png', 'none.png']) AS url FROM pages),
+b AS (SELECT doc, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1)) AS base, min(path) AS path FROM a GROUP BY 1, 2 HAVING count(DISTINCT path) = 1),
+e AS (SELECT doc, url, min(path) AS path FROM a GROUP BY 1, 2)
+SELECT l.doc, l.url, coalesce(e.path, b.path, l.url) AS path FROM l LEFT JOIN e ON l.doc = e.doc AND l.url = e.url LEFT JOIN b ON l.doc = b.doc AND b.base <> '' AND lower(regexp_extract(regexp_replace(l.url, '[?#].*$', ''), '([^/]*)$', 1)) = b.base""")
 def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assets = spark.createDataFrame([(1, "http://x/a.png", "p/a.png"), (1, "http://x/sub/b.png", "p/b.png"), (1, "http://y/c.png", "p/c1.png"), (1, "http://z/c.png", "p/c2.png")], "doc int, url string, path string")
-    links = spark.createDataFrame([(1, "http://x/a.png"), (1, "B.PNG?x=1"), (1, "c.png"), (2, "a.png")], "doc int, url string")
+    """Four links a page, the last without an asset, to assets some of which share a file name."""
+    pages = table(spark, sf_dir, "pages")
+    n = F.col("page_id").cast("string")
+    asset = lambda url, path: F.struct(url.alias("url"), path.alias("path"))
+    third = F.when(F.col("page_id") % 2 == 0, "p/c2.png").otherwise("p/c1.png")
+    held = [asset(F.concat("url", F.lit("/a.png")), F.concat(F.lit("p/"), n, F.lit("-a.png"))), asset(F.concat(F.lit("http://x/sub/b"), n, F.lit(".png")), F.lit("p/b.png")), asset(F.lit("http://y/c.png"), F.lit("p/c1.png")), asset(F.lit("http://z/c.png"), third)]
+    assets = pages.select(F.col("page_id").alias("doc"), F.explode(F.array(*held)).alias("a")).select("doc", "a.*")
+    links = pages.select(F.col("page_id").alias("doc"), F.explode(F.array(F.concat("url", F.lit("/a.png")), F.concat(F.lit("B"), n, F.lit(".PNG?x=1")), F.lit("c.png"), F.lit("none.png"))).alias("url"))
     return references.rewrite_links(links, assets, "doc").select("doc", "url", "path")
 
 
-MATH = ["<math><mfrac><mi>a</mi><msup><mi>b</mi><mn>2</mn></msup></mfrac></math>", "<math><msqrt><mi>α</mi><mo>+</mo><mn>1</mn></msqrt></math>", "<math><munderover><mo>∑</mo><mi>i</mi><mi>n</mi></munderover><mi>sin</mi></math>", "<!DOCTYPE x><math/>"]
-
-
-@query(r"""SELECT * FROM (VALUES (0, '\frac{a}{b^{2}}'), (1, '\sqrt{\alpha + 1}'), (2, '\sum_{i}^{n} \mathrm{sin}'), (3, NULL)) t(id, latex)""")
-def mathml_to_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _parts(spark: SparkSession, sf_dir: str, pattern: str, *values: str) -> DataFrame:
+    """``id, t``: the pattern filled with the columns of each part."""
     ship(spark)
-    rows = spark.createDataFrame(list(enumerate(MATH)), "id int, xml string")
-    return rows.select("id", markup.arrow(markup.mathml_to_latex, "string")(F.col("xml")).alias("latex"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.format_string(pattern, *[F.col(v) for v in values]).alias("t"))
 
 
-LATEX = [r"$ \dfrac{ a }{b} \leq  x _ 1 $", r"\( \geq \quad \neq \)"]
+@query(r"""SELECT p_partkey AS id, '\sqrt{\frac{\mathrm{' || p_type || '}}{b^{' || p_size || '}}} + \sum_{i}^{n} \alpha' AS latex FROM part""")
+def mathml_to_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = "<math><msqrt><mfrac><mi>%s</mi><msup><mi>b</mi><mn>%s</mn></msup></mfrac></msqrt><mo>+</mo><munderover><mo>∑</mo><mi>i</mi><mi>n</mi></munderover><mi>α</mi></math>"
+    return _parts(spark, sf_dir, xml, "p_type", "p_size").select("id", markup.arrow(markup.mathml_to_latex, "string")(F.col("t")).alias("latex"))
 
 
-@query(r"""SELECT * FROM (VALUES (0, '\frac{a}{b} \le x_1'), (1, '\ge \ne')) t(id, latex)""")
+@query(r"""SELECT p_partkey AS id, '\frac{' || p_size || '}{' || p_type || '} \le x_' || p_size || ' \ge \ne' AS latex FROM part""")
 def latex_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return spark.createDataFrame(list(enumerate(LATEX)), "id int, t string").select("id", markup.arrow(markup.normalize_latex, "string")(F.col("t")).alias("latex"))
+    return _parts(spark, sf_dir, r"$ \dfrac{ %s }{%s}  \leq  x _ %s \geq \quad \neq $", "p_size", "p_type", "p_size").select("id", markup.arrow(markup.normalize_latex, "string")(F.col("t")).alias("latex"))
 
 
-ARTICLE = "<article><front><journal-meta><journal-title>J</journal-title></journal-meta><article-meta><article-id pub-id-type='doi'>10.1234/AB</article-id><title-group><article-title>On <italic>x</italic></article-title></title-group><contrib-group><contrib contrib-type='author'><name><surname>Doe</surname><given-names>Ann</given-names></name></contrib></contrib-group><pub-date pub-type='epub'><day>3</day><month>2</month><year>2020</year></pub-date><abstract><p>Short.</p></abstract></article-meta></front><body><sec><title>Intro</title><p>One <sup>2</sup>.</p><sec><title>Sub</title><p>Two.</p></sec></sec></body><back><ref-list><ref id='r1'><label>1</label><mixed-citation>Doe. <year>1999</year><pub-id pub-id-type='doi'>10.1/Z</pub-id></mixed-citation></ref></ref-list></back></article>"
+ARTICLE = "<article><front><journal-meta><journal-title>%s</journal-title></journal-meta><article-meta><article-id pub-id-type='doi'>10.1234/AB%s</article-id><title-group><article-title>On <italic>%s</italic></article-title></title-group><contrib-group><contrib contrib-type='author'><name><surname>Doe</surname><given-names>%s</given-names></name></contrib></contrib-group><pub-date pub-type='epub'><day>3</day><month>2</month><year>20%s</year></pub-date><abstract><p>Short.</p></abstract></article-meta></front><body><sec><title>Intro</title><p>One <sup>2</sup>.</p><sec><title>Sub</title><p>Two %s.</p></sec></sec></body><back><ref-list><ref id='r1'><label>1</label><mixed-citation>Doe. <year>1999</year><pub-id pub-id-type='doi'>10.1/Z</pub-id></mixed-citation></ref></ref-list></back></article>"
 
 
-@query(r"""SELECT 1 AS id, 'On *x*' AS title, '10.1234/ab' AS doi, '3 2 2020' AS published, 'Ann Doe' AS authors, '## Intro' || chr(10) || chr(10) || 'One <sup>2</sup>.' || chr(10) || chr(10) || '### Sub' || chr(10) || chr(10) || 'Two.' AS markdown, 1::BIGINT AS n_refs""")
+@query(r"""SELECT p_partkey AS id, 'On *' || p_name || '*' AS title, '10.1234/ab' || p_partkey AS doi, '3 2 20' || p_size AS published, p_type || ' Doe' AS authors,
+'## Intro' || chr(10) || chr(10) || 'One <sup>2</sup>.' || chr(10) || chr(10) || '### Sub' || chr(10) || chr(10) || 'Two ' || p_name || '.' AS markdown, 1::BIGINT AS n_refs FROM part""")
 def jats_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    rows = spark.createDataFrame([(1, ARTICLE)], "id int, xml string").withColumn("a", markup.structs(markup.jats, markup.JATS)(F.col("xml")))
+    rows = _parts(spark, sf_dir, ARTICLE, "p_brand", "p_partkey", "p_name", "p_type", "p_size", "p_name").withColumn("a", markup.structs(markup.jats, markup.JATS)(F.col("t")))
     return rows.select("id", "a.title", "a.doi", "a.published", F.array_join("a.authors", ",").alias("authors"), "a.markdown", F.size("a.references").cast("long").alias("n_refs"))
 
 
@@ -137,18 +149,25 @@ def title_match_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("left_id", "right_id", similarity.blended_score(F.col("score"), F.col("ratio")).alias("score"))
 
 
-@query("""SELECT * FROM (VALUES (1, '1', 0::BIGINT), (1, '2', 0), (1, '3', 1)) t(doc, label, pos)""")
+@query("""SELECT doc, label, min(pos)::BIGINT AS pos FROM (SELECT c_custkey AS doc, unnest([c_nationkey::VARCHAR, (c_nationkey + 30)::VARCHAR, 's3', '2b', '2', c_nationkey::VARCHAR]) AS label, unnest([0, 0, 0, 1, 1, 1]) AS pos FROM customer) GROUP BY doc, label""")
 def figure_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, 0, "See Figs 1, 2 and"), (1, 1, "Fig. 3a shows, as Figure 1")], "doc int, pos long, text string")
-    return references.figure_mentions(rows, "doc")
+    """Two paragraphs for each customer."""
+    n = F.col("c_nationkey")
+    says = F.array(F.format_string("See Figs %s, %s and S3.", n, n + 30), F.format_string("Fig. 2b shows config 7, as Figure %s", n))
+    return references.figure_mentions(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.posexplode(says).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long")), "doc")
 
 
-@query("""SELECT * FROM (VALUES (1, 0::BIGINT, 'a', 'body'), (1, 1, 'b', 'abstract'), (1, 2, 'a', NULL)) t(doc, pos, name, kind)""")
+@query("""WITH f AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS u, min(turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id),
+h AS (SELECT *, min(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS first_a FROM conversations)
+SELECT h.conv_id, h.turn::BIGINT AS pos, h.role AS name, CASE WHEN h.role = 'user' AND h.turn = f.u AND (f.a IS NULL OR f.u < f.a) THEN 'body' WHEN h.role = 'assistant' AND h.turn = f.a THEN 'abstract' END AS kind
+FROM h JOIN f ON h.conv_id = f.conv_id""")
 def section_hint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as headings; each conversation hints that a user's turn is body and a later assistant's turn is abstract."""
     ship(spark)
-    heads = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a")], "doc int, pos long, name string")
-    hints = spark.createDataFrame([(1, 5, "b", "abstract"), (1, 1, "a", "body")], "doc int, ord long, name string, kind string")
-    return references.match_hints(heads, hints, "doc")
+    turns = table(spark, sf_dir, "conversations")
+    hint = lambda n, name, kind: F.struct(F.lit(n).alias("ord"), F.lit(name).alias("name"), F.lit(kind).alias("kind"))
+    hints = turns.select("conv_id").distinct().select("conv_id", F.explode(F.array(hint(5, "assistant", "abstract"), hint(1, "user", "body"))).alias("h")).select("conv_id", "h.*")
+    return references.match_hints(turns.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("name")), hints, "conv_id")
 
 
 @query("""SELECT user_id, coalesce(max(value) FILTER (event_type = 'purchase'), max(value) FILTER (event_type = 'view')) AS value FROM events WHERE event_type IN ('purchase', 'view') GROUP BY user_id""")
@@ -170,32 +189,35 @@ def citations_to_sup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", markup.arrow(markup.citations_to_sup, "string")(F.col("text")).alias("text"))
 
 
-PUBLISHER_ARTICLE = '<r xmlns:ce="u"><ce:title>On x</ce:title><ce:doi>10.1/A</ce:doi><ce:author><ce:given-name>Ann</ce:given-name><ce:surname>Doe</ce:surname></ce:author><ce:body><ce:sections><ce:section><ce:section-title>Intro</ce:section-title><ce:para>Text.</ce:para></ce:section></ce:sections></ce:body></r>'
+PUBLISHER_ARTICLE = '<r xmlns:ce="u"><ce:title>On %s</ce:title><ce:doi>10.1/A%s</ce:doi><ce:author><ce:given-name>Ann</ce:given-name><ce:surname>%s</ce:surname></ce:author><ce:body><ce:sections><ce:section><ce:section-title>Intro</ce:section-title><ce:para>Text <ce:bold>%s</ce:bold>.</ce:para></ce:section></ce:sections></ce:body></r>'
 
 
-@query("""SELECT 1 AS id, 'On x' AS title, '10.1/a' AS doi, 'Ann Doe' AS authors, '## Intro' || chr(10) || chr(10) || 'Text.' AS markdown""")
+@query("""SELECT p_partkey AS id, 'On ' || p_name AS title, '10.1/a' || p_partkey AS doi, 'Ann ' || p_type AS authors, '## Intro' || chr(10) || chr(10) || 'Text **' || p_size || '**.' AS markdown FROM part""")
 def publisher_xml_article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    rows = spark.createDataFrame([(1, PUBLISHER_ARTICLE)], "id int, xml string").withColumn("a", markup.structs(publisher_xml.article, publisher_xml.ARTICLE)(F.col("xml")))
+    rows = _parts(spark, sf_dir, PUBLISHER_ARTICLE, "p_name", "p_partkey", "p_type", "p_size").withColumn("a", markup.structs(publisher_xml.article, publisher_xml.ARTICLE)(F.col("t")))
     return rows.select("id", "a.title", "a.doi", F.array_join("a.authors", ",").alias("authors"), "a.markdown")
 
 
-CALS = '<t><colspec colname="a"/><colspec colname="b"/><thead><row><entry namest="a" nameend="b">H</entry></row></thead><tbody><row><entry>1</entry><entry>2</entry></row></tbody></t>'
+CALS = '<t><colspec colname="a"/><colspec colname="b"/><thead><row><entry namest="a" nameend="b">%s</entry></row></thead><tbody><row><entry morerows="1">%s</entry><entry>%s</entry></row><row><entry>%s</entry></row></tbody></t>'
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 0, 'H', false), (1, 0, 1, 'H', false), (1, 1, 0, '1', false), (1, 1, 1, '2', false)) t(id, "row", col, text, lossy)""")
+@query("""SELECT p_partkey AS id, unnest([0, 0, 1, 1, 2, 2])::INT AS "row", unnest([0, 1, 0, 1, 0, 1])::INT AS col, unnest([p_type, p_type, p_size::VARCHAR, p_name, p_size::VARCHAR, p_brand]) AS text, false AS lossy FROM part""")
 def cals_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    rows = spark.createDataFrame([(1, CALS)], "id int, xml string").withColumn("g", markup.structs(publisher_xml.cals_grid, publisher_xml.GRID)(F.col("xml")))
+    rows = _parts(spark, sf_dir, CALS, "p_type", "p_size", "p_name", "p_brand").withColumn("g", markup.structs(publisher_xml.cals_grid, publisher_xml.GRID)(F.col("t")))
     return rows.select("id", F.explode("g.cells").alias("c"), "g.lossy").select("id", "c.row", "c.col", "c.text", "lossy")
 
 
-@query("""SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, 0::BIGINT AS n_authors FROM pages""")
+@query("""SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 2 END::BIGINT AS n_authors,
+CASE WHEN page_id % 3 = 0 THEN '' ELSE 'A ' || page_id || ',B' END AS authors FROM pages""")
 def page_script_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with linked data put at their end, which in a third of them does not parse."""
     ship(spark)
-    names = markup.arrow(lambda page: len(scripts.linked_authors(page)), "long")
+    end = F.when(F.col("page_id") % 3 == 0, ", ]").otherwise("]")
+    data = F.concat(F.lit('<script type="application/ld+json">[{"@type": "Article", "author": [{"name": "A  '), F.col("page_id").cast("string"), F.lit('"}, "B"]}, {"creator": {"name": "B"}}'), end, F.lit("</script>"))
+    names = markup.arrow(scripts.linked_authors, "array<string>")
     lang = markup.arrow(publisher_xml.language_hint, "string")(F.regexp_extract("html", '<html lang="([a-z]+)"', 1))
-    return table(spark, sf_dir, "pages").select("page_id", lang.alias("lang"), names(F.col("html")).alias("n_authors"))
+    rows = table(spark, sf_dir, "pages").select("page_id", lang.alias("lang"), names(F.concat("html", data)).alias("a"))
+    return rows.select("page_id", "lang", F.size("a").cast("long").alias("n_authors"), F.array_join("a", ",").alias("authors"))
 
 
 @query("""SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'system' GROUP BY conv_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g')""")
