@@ -12,8 +12,8 @@ import numpy as np
 
 from lectern.llm.common import MEMOS
 
-#: Pieces remembered by one Python worker before it starts afresh (about 200 MB).
-MEMO_PIECES = 1_000_000
+#: Pieces remembered by one Python worker before it starts afresh (about 100 MB).
+MEMO_PIECES = 500_000
 #: Characters of one window of a huge text, and by how much two windows overlap at first.
 WINDOW_CHARS = 16_384
 OVERLAP_CHARS = 512

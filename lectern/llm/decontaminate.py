@@ -18,7 +18,7 @@ WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 ONE_IN = 20
 #: Bytes of training text under one suffix array.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is searched in slices.
 SLICE_BYTES = 32 << 20
 
@@ -95,10 +95,10 @@ class Shard:
         for j in range(self.per):
             on &= padded[j : j + n] != 0
             self.head[:-1] |= np.where(on, padded[j : j + n], 0).astype(np.uint64) << np.uint64(bits * (self.per - 1 - j))
-        at = np.flatnonzero(seq)
+        at = np.flatnonzero(seq).astype(np.int32)
         ends = np.append(np.flatnonzero(seq == 0), n)
         #: Words of each suffix.
-        self.length = np.zeros(n + 1, np.int64)
+        self.length = np.zeros(n + 1, np.int32)
         self.length[at] = ends[np.searchsorted(ends, at)] - at
         self.order = at[np.argsort(self.head[at], kind="stable")]
         self._refine()
@@ -111,7 +111,7 @@ class Shard:
         key = self.head[sa]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         # A rank is the place of the first suffix that is equal so far; the empty suffix has 0.
-        rank = np.zeros(len(self.head), np.int64)
+        rank = np.zeros(len(self.head), np.int32)
         rank[sa] = np.maximum.accumulate(np.where(new, np.arange(len(sa)), 0)) + 1
         while True:
             alone = new & np.append(new[1:], True)

@@ -14,7 +14,7 @@ from lectern.llm.bpe import OVERLAP_CHARS, WINDOW_CHARS, encoder
 from lectern.llm.common import batch, blocks, map_arrow, texts
 
 #: Bytes of text that a Python worker handles at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @functools.lru_cache(maxsize=2)

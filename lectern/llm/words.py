@@ -9,8 +9,8 @@ import xxhash
 
 from lectern.llm.common import MEMOS
 
-#: Words remembered by one Python worker before it starts afresh (about 100 MB).
-MEMO_WORDS = 500_000
+#: Words remembered by one Python worker before it starts afresh (about 60 MB).
+MEMO_WORDS = 300_000
 
 
 class _Hashes(dict):
