@@ -12,7 +12,7 @@ import numpy as np
 
 from lectern.llm.common import MEMOS
 
-#: Pieces remembered by one Python worker before it starts afresh (about 100 MB).
+#: Pieces remembered by one Python worker, unless asked for more, before it starts afresh (about 100 MB).
 MEMO_PIECES = 500_000
 #: Characters of one window of a huge text, and by how much two windows overlap at first.
 WINDOW_CHARS = 16_384
@@ -57,7 +57,8 @@ class Encoder:
     other tokenizers, go to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MEMO_PIECES) -> None:
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,7 +97,7 @@ class Encoder:
         if not self.pieces:
             out = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate([*out, np.zeros(0, np.uint32)]).astype(np.uint32), np.array([len(x) for x in out], np.int64)
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.memo) > self.most:
             self._forget()
         look = self.memo.__getitem__
         numbers: list[int] = []
@@ -208,9 +209,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = MEMO_PIECES) -> Encoder:
     """One encoder for each tokenizer file and Python worker."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 MEMOS[__name__] = encoder.cache_clear

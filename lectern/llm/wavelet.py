@@ -17,6 +17,8 @@ from lectern.llm.bpe import WINDOW_CHARS, encoder
 from lectern.llm.common import batch, binaries, blocks, map_arrow, saved, texts
 
 MAGIC = b"LWM1"
+#: Pieces that a worker remembers while it writes shards (about 200 MB): it does nothing else.
+MEMO_PIECES = 1_000_000
 #: Bits between two entries of the rank directory.
 SPAN = 512
 #: Bytes of text that go into one shard, unless a single document has more.
@@ -153,7 +155,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MEMO_PIECES)
         for k, b in enumerate(blocks(batches, "text", shard_bytes)):
             words = b.column(1).to_pylist()
             huge = {i: enc.resync(w) for i, w in enumerate(words) if len(w) > WINDOW_CHARS * 16}
