@@ -124,8 +124,7 @@ def jats_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TITLES = r"""t AS (SELECT page_id, regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]+', ' ', 'g') AS t FROM pages),
 w AS (SELECT DISTINCT page_id, unnest(string_split(t, ' ')) AS w FROM t), v AS (SELECT page_id, w FROM w WHERE w <> ''), n AS (SELECT page_id, count(*) AS n FROM v GROUP BY page_id),
-rare AS (SELECT w FROM v GROUP BY w HAVING count(*) <= 50),
-c AS (SELECT DISTINCT a.page_id AS l, b.page_id AS r FROM v a JOIN rare USING (w) JOIN v b USING (w) WHERE a.page_id < b.page_id),
+c AS (SELECT DISTINCT a.page_id AS l, b.page_id AS r FROM v a JOIN v b USING (w) WHERE a.page_id < b.page_id),
 s AS (SELECT l, r, count(*) AS i FROM c JOIN v a ON a.page_id = l JOIN v b ON b.page_id = r AND a.w = b.w GROUP BY l, r),
 j AS (SELECT l, r, round(i / (p.n + q.n - i), 6) AS score FROM s JOIN n p ON p.page_id = l JOIN n q ON q.page_id = r)"""
 

@@ -90,9 +90,10 @@ def overlap_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.passage_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS w FROM documents),
-b AS (SELECT item_id, string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS w FROM benchmark)
-SELECT doc_id, item_id FROM d JOIN b ON d.w[1:12] = b.w[1:12] AND len(d.w) >= 12 AND len(b.w) >= 12""")
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+x AS (SELECT doc_id, w, array_to_string(w, ' ') AS t FROM d WHERE len(w) > 0), y AS (SELECT item_id, w, array_to_string(w, ' ') AS t FROM b WHERE len(w) > 0)
+SELECT doc_id, item_id FROM x, y WHERE contains(x.t, y.t) OR contains(y.t, x.t) OR (least(len(x.w), len(y.w)) >= 12
+AND x.w[1:least(24, greatest(12, least(len(x.w), len(y.w)) // 3))] = y.w[1:least(24, greatest(12, least(len(x.w), len(y.w)) // 3))])""")
 def semantic_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.semantic_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
