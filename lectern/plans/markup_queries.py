@@ -16,32 +16,60 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.html_blocks(table(spark, sf_dir, "pages"))
 
 
-@query()
+#: Blocks of the pages for DuckDB: their markup is regular, so that patterns can take it apart.
+_SAID = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace(replace({0}, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
+_BLOCKS = rf"""WITH h AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS items, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS seg FROM pages),
+g AS (SELECT page_id, title, items, 10 + 2 * len(items) AS root, regexp_extract(seg, '<h1>([^<]*)</h1>', 1) AS h1, [string_split(x, '</p>')[1] for x in string_split(seg, '<p>')[2:]] AS ps FROM h),
+l AS (SELECT page_id, root, list_concat([{{'kind': 'meta', 'tag': 'meta', 'level': NULL::INT, 'text': '', 'chrome': false, 'root': 0}}, {{'kind': 'title', 'tag': 'title', 'level': NULL::INT, 'text': {_SAID.format("title")}, 'chrome': false, 'root': 0}}],
+  flatten([[{{'kind': 'item', 'tag': 'li', 'level': NULL::INT, 'text': {_SAID.format("i")}, 'chrome': true, 'root': 6}}, {{'kind': 'link', 'tag': 'a', 'level': NULL::INT, 'text': {_SAID.format("i")}, 'chrome': true, 'root': 6}}] for i in items]),
+  [{{'kind': 'heading', 'tag': 'h1', 'level': 1::INT, 'text': {_SAID.format("h1")}, 'chrome': false, 'root': root::INT}}], [{{'kind': 'paragraph', 'tag': 'p', 'level': NULL::INT, 'text': {_SAID.format("p")}, 'chrome': false, 'root': root::INT}} for p in ps]) AS every FROM g),
+m AS (SELECT page_id, root, list_filter(every, lambda x: x.text <> '' OR x.kind = 'meta') AS every FROM l),
+b AS (SELECT page_id, unnest(range(len(every)))::INT AS pos, unnest(every) AS e FROM m), r AS (SELECT page_id, pos, e.kind, e.tag, e.level, e.text, e.chrome, e.root FROM b)"""
+_WORDS = "len(list_filter(string_split(text, ' '), lambda x: x <> ''))"
+
+
+@query(_BLOCKS + " SELECT page_id, pos, kind, tag, level, text, chrome FROM r")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("page_id", "pos", "kind", "tag", "level", "text", "chrome")
 
 
-@query()
+@query(_BLOCKS + f" SELECT page_id, root, sum({_WORDS})::BIGINT AS words FROM r WHERE NOT chrome AND kind IN ('heading', 'paragraph') GROUP BY page_id, root")
 def content_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.content_root(_blocks(spark, sf_dir))
 
 
-@query()
+@query(_BLOCKS + " SELECT page_id, pos, kind, tag, level, text, CASE WHEN kind = 'heading' THEN 'front_matter' ELSE 'body' END AS category FROM r WHERE NOT chrome AND kind IN ('heading', 'paragraph', 'item')")
 def clean_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.clean_blocks(_blocks(spark, sf_dir))
 
 
-@query()
+@query(_BLOCKS + " SELECT page_id, coalesce(min(text) FILTER (kind = 'heading'), min(text) FILTER (kind = 'title')) AS title, NULL::VARCHAR AS abstract, NULL::VARCHAR AS journal_title, NULL::VARCHAR AS doi, NULL::VARCHAR AS published, '' AS authors FROM r GROUP BY page_id")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.metadata(_blocks(spark, sf_dir))
+    return html.metadata(_blocks(spark, sf_dir)).withColumn("authors", F.array_join("authors", "|"))
 
 
-@query()
+@query(
+    """SELECT p_partkey AS page_id, 'T ' || p_name AS title, 'About ' || p_type AS abstract, CASE WHEN p_size % 2 = 0 THEN p_brand END AS journal_title, '10.1/p' || p_partkey AS doi, '20' || p_size AS published,
+array_to_string(list_sort(list_distinct([p_brand, 'Ann'])), '|') AS authors FROM part"""
+)
+def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meta elements in mixed case and order; the first of several counts, and a page without ``h1`` has the title of its meta element."""
+    ship(spark)
+    journal = F.when(F.col("p_size") % 2 == 0, F.format_string('<META NAME="citation_journal_title" CONTENT="%s">', F.col("p_brand"))).otherwise("")
+    page = F.format_string(
+        '<html><head><title>x</title><meta name="citation_title" content="T %s"><meta name="Description" content="About %s">%s<meta name="citation_doi" content="10.1/p%s"><meta name="citation_doi" content="10.1/q"><meta name="citation_publication_date" content="20%s"><meta name="citation_author" content="%s"><meta name="citation_author" content="Ann"></head><body><p>y</p></body></html>',
+        F.col("p_name"), F.col("p_type"), journal, F.col("p_partkey"), F.col("p_size"), F.col("p_brand"),
+    )
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    return html.metadata(html.html_blocks(pages)).withColumn("authors", F.array_join("authors", "|"))
+
+
+@query(_BLOCKS + " SELECT page_id, string_agg(CASE WHEN kind = 'heading' THEN '# ' || text ELSE text END, chr(10) || chr(10) ORDER BY pos) AS markdown FROM r WHERE NOT chrome AND kind IN ('heading', 'paragraph', 'item') GROUP BY page_id")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.to_markdown(_blocks(spark, sf_dir))
 
 
-@query()
+@query(_BLOCKS + " SELECT page_id, root, sum(length(text) + CASE kind WHEN 'heading' THEN 200 WHEN 'paragraph' THEN 40 WHEN 'image' THEN 20 ELSE 0 END)::BIGINT AS score FROM r WHERE NOT chrome GROUP BY page_id, root")
 def container_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.container_scores(_blocks(spark, sf_dir))
 
@@ -181,11 +209,11 @@ def citation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(\[[0-9]+\])"))).cast("long").alias("n"))
 
 
-@query()
+@query("""SELECT p_partkey AS id, '<sup>1, ' || p_size || '–' || (p_size + 2) || '</sup> and [' || p_size || '](x) of ' || p_name || ' <sup>7a</sup>[b]' AS text FROM part""")
 def citations_to_sup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.format_string("[1 ,%s - %s] and [%s](x) of %s [7a][b]", F.col("p_size"), F.col("p_size") + 2, F.col("p_size"), F.col("p_name"))
     ship(spark)
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\[[0-9]+"))
-    return rows.select("doc_id", markup.arrow(markup.citations_to_sup, "string")(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), markup.arrow(markup.citations_to_sup, "string")(said).alias("text"))
 
 
 PUBLISHER_ARTICLE = '<r xmlns:ce="u"><ce:title>On %s</ce:title><ce:doi>10.1/A%s</ce:doi><ce:author><ce:given-name>Ann</ce:given-name><ce:surname>%s</ce:surname></ce:author><ce:body><ce:sections><ce:section><ce:section-title>Intro</ce:section-title><ce:para>Text <ce:bold>%s</ce:bold>.</ce:para></ce:section></ce:sections></ce:body></r>'
