@@ -57,7 +57,7 @@ def title_key(c: Column) -> Column:
 
 def journal_key(c: Column) -> Column:
     c = F.regexp_replace(F.lower(normalize_text(c)), "&", " and ")
-    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(c, r"[^a-z0-9]+", " "))
 
 
 def author_name(c: Column) -> Column:

@@ -99,12 +99,6 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.to_markdown(tables.expand(_cells(spark, sf_dir)))
 
 
-@query()
-def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return tables.html_cells(table(spark, sf_dir, "pages"))
-
-
 @query(r"""WITH a AS (SELECT page_id AS doc, url || '/a.png' AS url, 'p/' || page_id || '-a.png' AS path FROM pages UNION ALL SELECT page_id, 'http://x/sub/b' || page_id || '.png', 'p/b.png' FROM pages
 UNION ALL SELECT page_id, 'http://y/c.png', 'p/c1.png' FROM pages UNION ALL SELECT page_id, 'http://z/c.png', CASE WHEN page_id % 2 = 0 THEN 'p/c2.png' ELSE 'p/c1.png' END FROM pages),
 l AS (SELECT page_id AS doc, unnest([url || '/a.png', 'B' || page_id || '.PNG?x=1', 'c.png', 'none.png']) AS url FROM pages),
