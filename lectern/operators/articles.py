@@ -102,3 +102,20 @@ def stop_markers(rows: DataFrame, key: str, order: str, text: str, markers: Sequ
     flagged = rows.withColumn("_at", at).withColumn("_begun", F.coalesce(begun, F.lit(0)))
     cut = F.max((F.col("_at") & (F.col("_begun") == 1)).cast("int")).over(w)
     return flagged.withColumn("_cut", cut).where("_cut = 0 AND NOT _at").drop("_at", "_begun", "_cut")
+
+
+def downgrade(sections: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """Sections that stay once an article counts for less: all of ``fulltext``, abstracts of ``abstract_only``, none of ``metadata_only``.
+
+    ``targets`` has ``key, target``; an article without one keeps everything.
+    """
+    rows = sections.join(targets.select(key, "target"), key, "left")
+    return rows.where("target IS NULL OR target = 'fulltext' OR (target = 'abstract_only' AND kind = 'abstract')").drop("target")
+
+
+def abstract_in_budget(text: Column, label_tokens: int, budget: Column) -> Column:
+    """An abstract whole where it fits beside its label, else its start with dots, else empty."""
+    room = F.greatest(budget - label_tokens, F.lit(0))
+    whole = F.ceil(F.length(text) / 4) <= room
+    cut = F.rtrim(F.substring(text, F.lit(1), (4 * F.greatest(room - label_tokens, F.lit(0))).cast("int")))
+    return F.when(whole, text).when(cut != "", F.concat(cut, F.lit("..."))).otherwise("")

@@ -59,3 +59,19 @@ def exit_code(results: DataFrame, status: str, priority: Sequence[tuple[str, int
         rank = F.when(F.col(status) == name, i).otherwise(rank)
     codes = F.array(*[F.lit(c) for _, c in priority], F.lit(0))
     return results.agg(F.get(codes, F.coalesce(F.min(rank), F.lit(len(priority)))).alias("exit_code"))
+
+
+def stage_seconds(rows: DataFrame, key: str, stage: str, seconds: str) -> DataFrame:
+    """Seconds of each stage, added up; each stage once in a map."""
+    per = rows.groupBy(key, stage).agg(F.sum(seconds).alias("_s"))
+    return per.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(stage, "_s")))).alias("stages"))
+
+
+def totals(results: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """One row: the number of results, and of those with each flag."""
+    return results.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(name) for name, c in flags.items()])
+
+
+def unstable(results: DataFrame, key: str, signature: Column) -> DataFrame:
+    """Keys whose results do not all have one signature, with the number of different ones."""
+    return results.groupBy(key).agg(F.count_distinct(signature).alias("signatures")).where("signatures > 1")

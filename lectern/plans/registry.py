@@ -54,4 +54,4 @@ def sql_words(x: str) -> str:
     return rf"len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+'))::BIGINT"
 
 
-from lectern.plans import article_queries, identifier_queries, markup_queries, ordered_queries, outcome_queries, page_queries, report_queries, text_queries  # noqa: E402, F401
+from lectern.plans import article_queries, identifier_queries, markup_queries, merge_queries, ordered_queries, outcome_queries, page_queries, report_queries, text_queries  # noqa: E402, F401
