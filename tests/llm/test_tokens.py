@@ -27,6 +27,16 @@ def test_pieces_equal_library(enc):
         assert ids[a:z].tolist() == enc.whole(t).tolist(), repr(t)
 
 
+def test_marks_and_lines_equal_library(enc):
+    r = random.Random(2)
+    parts = ["word", "The", "é", "ß", "ª", " ", " ", " ", "\n", "\n\n", ".", ",", "$$$", "'", "'ll", "_", "23", "\x00", "\x1f"]
+    texts = ["", *("".join(r.choice(parts) for _ in range(r.choice([1, 2, 5, 20, 80]))) for _ in range(3000))]
+    ids, n = enc.encode_block(texts)
+    want = [enc.whole(t) for t in texts]
+    assert n.tolist() == list(map(len, want))
+    assert np.array_equal(ids, np.concatenate(want))
+
+
 @pytest.mark.parametrize(("window", "overlap"), [(16, 2), (50, 7), (200, 20)])
 def test_resync_equals_library(enc, window, overlap):
     r = random.Random(1)
