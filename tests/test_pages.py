@@ -17,7 +17,7 @@ def cut_pages(tmp_path_factory):
     return str(top)
 
 
-@pytest.mark.parametrize("name", ["html_blocks", "clean_blocks", "container_scores", "page_markdown"])
+@pytest.mark.parametrize("name", ["html_blocks", "clean_blocks", "container_scores", "page_markdown", "page_metadata"])
 def test_cut_references(spark, cut_pages, name):
     check(QUERIES[name](spark, cut_pages), ORACLES[name], cut_pages)
 
