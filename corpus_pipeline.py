@@ -6,12 +6,13 @@ Each stage works on all that its predecessor kept. All but the last return the c
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bitmap, drop, key_of, row_key, saved, scratch, slots_for, texts, with_member, without
+from lectern.llm.common import bitmap, drop, key_of, row_key, saved, scratch, shrink, slots_for, texts, with_member, without
 from lectern.llm.decontaminate import find_contamination
 from lectern.llm.exact_dedup import progressive_exact_dedup
 from lectern.llm.near_dedup import near_duplicates
@@ -80,13 +81,21 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_by_length(saved(count_tokens(docs, byte_bpe()), "lengths"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality),
-    ("exact_dedup", exact_dedup),
-    ("near_dedup", near_dedup),
-    ("decontaminate", decontaminate),
-    ("packing", packing),
-]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _fresh(stage: Stage) -> Stage:
+    """The stage, begun with small heaps: an executor's heap and its Python workers share one limit."""
+
+    @functools.wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
+STAGES: list[tuple[str, Stage]] = [(f.__name__, _fresh(f)) for f in (quality, exact_dedup, near_dedup, decontaminate, packing)]
 
 #: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL: str | None = None
