@@ -28,6 +28,8 @@ PASSAGE_BYTES = 8 << 20
 PHRASE_BYTES = 4 << 20
 #: Words at the start that two texts must share: least and most.
 HEAD_WORDS = 12, 24
+#: Texts that are sketched at once.
+SKETCH_ROWS = 1024
 #: Rows on either side of a tile of titles.
 TILE_ROWS = 4096
 
@@ -138,16 +140,31 @@ def text_sketches(docs: DataFrame, least: float) -> DataFrame:
     """``doc_id, lang, digest, n, keys, bag`` of documents with text: hash and length of the normalised text, its
     :func:`gram_keys` and counts of its characters in 32 groups. One pass; only these are moved later."""
     ship(docs.sparkSession)
+    rows = docs.select("doc_id", "lang", "text")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(k, SKETCH_ROWS) for b in batches for k in range(0, b.num_rows, SKETCH_ROWS)):
+            at, out = [], []
+            for k, t in enumerate(map(plain_text, b.column(2).to_pylist())):
+                if t:
+                    raw = t.encode("utf-32-le", "surrogatepass")
+                    at.append(k)
+                    out.append((xxhash.xxh3_128_digest(raw), len(t), gram_keys(t, least), np.bincount(np.frombuffer(raw, np.uint32) & 31, minlength=32)))
+            digest, n, keys, bag = zip(*out, strict=True) if out else ((), (), (), ())
+            own = [b.column(i).take(pa.array(at, pa.int64())) for i in range(2)]
+            made = [pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bag, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=["doc_id", "lang", "digest", "n", "keys", "bag"])
+
+    # A function over batches runs once a row; as a column it ran again in the filter that the optimizer moved before it.
+    made = T.StructType.fromDDL("digest binary, n int, keys array<long>, bag array<int>")
+    return rows.mapInArrow(sketch, T.StructType([*rows.schema.fields[:2], *made.fields]))
 
-    @F.pandas_udf("digest binary, n int, keys array<long>, bag array<int>")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in map(plain_text, texts):
-            raw = t.encode("utf-32-le", "surrogatepass")
-            out.append((xxhash.xxh3_128_digest(raw), len(t), gram_keys(t, least), np.bincount(np.frombuffer(raw, np.uint32) & 31, minlength=32).astype(np.int32)))
-        return pd.DataFrame(out, columns=["digest", "n", "keys", "bag"])
 
-    return docs.select("doc_id", "lang", sketch("text").alias("s")).select("doc_id", "lang", "s.*").where("n > 0")
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows computed now and held on executors' disks; left to the parts of a plan that read them, each would compute its own."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
 
 
 def edits_pairs(classes: DataFrame, least: float, delta: int = 64) -> DataFrame:
@@ -176,11 +193,11 @@ def near_pairs(docs: DataFrame, least: float = 0.995, delta: int = 64) -> DataFr
     ratio 1, and classes are paired by these ids, so that links of copies follow from the rows.
     Empty texts are paired with nothing.
     """
-    sketches = text_sketches(docs, least).persist(StorageLevel.DISK_ONLY)
+    sketches = _kept(text_sketches(docs, least))
     classes = sketches.groupBy("lang", "digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "keys", "bag")])
     several = classes.where("copies > 1").select(F.col("lang").alias("_lang"), F.col("digest").alias("_digest"), F.col("doc_id").alias("left_id"))
     copies = sketches.select("doc_id", "lang", "digest").join(several, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("digest") == F.col("_digest"))).where("doc_id != left_id")
-    pairs = edits_pairs(classes, least, delta).persist(StorageLevel.DISK_ONLY)
+    pairs = _kept(edits_pairs(classes, least, delta))
     asked = pairs.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).distinct()
     rows = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi")
     pairs = pairs.join(rows.select(F.col("doc_id").alias("left_id"), F.col("text").alias("a")), "left_id").join(rows.select(F.col("doc_id").alias("right_id"), F.col("text").alias("b")), "right_id")
