@@ -42,7 +42,7 @@ class WaveletMatrix:
             packed = np.concatenate([packed, np.zeros(-len(packed) % (SPAN // 8), np.uint8)])
             planes.append(packed)
             ranks.append(cls._directory(packed))
-            now = np.concatenate([now[~bit], now[bit]])
+            now = np.concatenate([now.take(np.flatnonzero(~bit)), now.take(np.flatnonzero(bit))])
         return cls(len(ids), width, planes, ranks)
 
     @staticmethod
@@ -108,8 +108,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], bitorder="little", count=self.n).view(bool)
             up = np.empty_like(now)
             z = self.zeros[level]
-            up[~bit] = now[:z]
-            up[bit] = now[z:] | now.dtype.type(1 << (self.width - 1 - level))
+            up[np.flatnonzero(~bit)] = now[:z]
+            up[np.flatnonzero(bit)] = now[z:] | now.dtype.type(1 << (self.width - 1 - level))
             now = up
         return now.astype(np.uint32)
 
