@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     out._lectern_path = path
     if _written:
         _written[-1].append(out)
+    lighten(spark)
     return out
 
 
@@ -75,11 +77,43 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lighten(spark: SparkSession) -> None:
+    """The driver collects its garbage and gives back what its JVM and its Python have freed, inside the JVM's heap and beside it."""
+    spark._jvm.System.gc()
+    trim_native(spark)
+    gc.collect()
+    _give_back()
+
+
+def trim_native(spark: SparkSession) -> str | None:
+    """Free native memory of the driver's JVM goes back to the system, as ``jcmd`` does it; None where this JVM has no such command.
+
+    Through reflection, since the bean server's own class is not open to callers.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+
+    def array(kind: object, values: list) -> object:
+        out = new(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    try:
+        kinds = [named(k) for k in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, kinds))
+        asked = [jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", new(jvm.Object, 0), new(jvm.String, 0)]
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.Object, asked))
+    except Py4JError:
+        return None
+
+
 def shrink(spark: SparkSession) -> None:
-    """Executors collect their garbage and give back the heap that earlier work left behind, which they would keep otherwise.
+    """Driver and executors collect their garbage and give back the heap that earlier work left behind, which they would keep otherwise.
 
     One task for each core, so that free executors get theirs; what one that gets none holds is no more than before.
     """
+    lighten(spark)
     n = spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).where("java_method('java.lang.System', 'gc') IS NOT NULL").count()
 
@@ -102,6 +136,11 @@ def enter(name: str) -> None:
             forget()
         gc.collect()
         _last = name
+    _give_back()
+
+
+def _give_back() -> None:
+    """Free memory of this Python process goes back to the system."""
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
