@@ -199,32 +199,51 @@ def across(members: DataFrame, found: DataFrame, most: int) -> DataFrame | None:
     return asked.select(F.xxhash64("region", F.least("unit", "other"), F.greatest("unit", "other")).alias("tile"), "node")
 
 
+def _stars(links: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """What the links hold together, each node linked with nothing but the smallest one.
+
+    Tiles that agree on a group thus give the same links, of which one stays, however many orders found it.
+    """
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up[x]) != x:
+            up[x] = x = up[y]
+        return x
+
+    def edges() -> pa.RecordBatch:
+        out = [(y, x) for x in up if (y := top(x)) != x]
+        up.clear()
+        return batch(a=pa.array([a for a, _ in out], pa.int64()), b=pa.array([b for _, b in out], pa.int64()))
+
+    for a, b in links:
+        a, b = top(up.setdefault(a, a)), top(up.setdefault(b, b))
+        up[max(a, b)] = min(a, b)
+        if len(up) >= HELD_ROWS:
+            yield edges()
+    if up:
+        yield edges()
+
+
 def _proposed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that hold together what signatures in one tile say is similar: a spanning forest, not all pairs."""
-    edges: list[tuple[int, int]] = []
-    for t in runs(batches, ["tile"]):
-        nodes = t.column("node").to_numpy()
-        m = _matrix(t.column("bytes").combine_chunks(), np.uint8)
-        left = np.arange(len(nodes))
-        while len(left):
-            stack, left = [int(left[0])], left[1:]
-            while stack and len(left):
-                v = stack.pop()
-                near = (m[left] == m[v]).sum(axis=1) >= AGREE
-                if near.any():
-                    found, left = left[near], left[~near]
-                    edges += [(int(nodes[v]), int(nodes[i])) for i in found]
-                    stack += found.tolist()
-        if len(edges) >= 10_000:
-            yield _edges(edges)
-            edges = []
-    if edges:
-        yield _edges(edges)
-
-
-def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*edges, strict=True)
-    return batch(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+
+    def links() -> Iterator[tuple[int, int]]:
+        for t in runs(batches, ["tile"]):
+            nodes = t.column("node").to_numpy()
+            m = _matrix(t.column("bytes").combine_chunks(), np.uint8)
+            left = np.arange(len(nodes))
+            while len(left):
+                stack, left = [int(left[0])], left[1:]
+                while stack and len(left):
+                    v = stack.pop()
+                    near = (m[left] == m[v]).sum(axis=1) >= AGREE
+                    if near.any():
+                        found, left = left[near], left[~near]
+                        yield from ((int(nodes[v]), int(nodes[i])) for i in found)
+                        stack += found.tolist()
+
+    return _stars(links())
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,16 +285,13 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    edges: list[tuple[int, int]] = []
-    for t in runs(batches, ["tile"]):
-        nodes = t.column("node").to_pylist()
-        found = spanning_links([np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]) if len(nodes) > 1 else []
-        edges += [(nodes[i], nodes[j]) for i, j in found]
-        if len(edges) >= 10_000:
-            yield _edges(edges)
-            edges = []
-    if edges:
-        yield _edges(edges)
+    def links() -> Iterator[tuple[int, int]]:
+        for t in runs(batches, ["tile"]):
+            nodes = t.column("node").to_pylist()
+            if len(nodes) > 1:
+                yield from ((nodes[i], nodes[j]) for i, j in spanning_links([np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]))
+
+    return _stars(links())
 
 
 def _low_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
