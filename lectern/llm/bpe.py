@@ -12,7 +12,7 @@ import numpy as np
 
 from lectern.llm.common import MEMOS
 
-#: Pieces remembered by one Python worker, unless asked for more, before it starts afresh (about 100 MB).
+#: Pieces remembered by one Python worker, unless asked for more, before those seen once go (about 100 MB).
 MEMO_PIECES = 500_000
 #: Characters of one window of a huge text, and by how much two windows overlap at first.
 WINDOW_CHARS = 16_384
@@ -20,8 +20,8 @@ OVERLAP_CHARS = 512
 #: Unknown pieces that one call of the library gets at once.
 _JOIN = 1024
 _INNER = re.compile(r"\s \s")
-#: Words of letters that are letters in any version of Unicode, and a mark.
-_MARKED = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
+#: A word of letters that are letters in any version of Unicode, or of digits; marks behind it (no apostrophe, which may begin an ending like 's); the same after a line end.
+_PARTS = re.compile(r"( ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+))([!-&(-/:-@\[-`{-~]+)?(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+)([!-&(-/:-@\[-`{-~]+)?)?")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -75,7 +75,6 @@ class Encoder:
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.token_bytes[i] = len(token.encode()) if token in self.added else len(token)
-        self.marks = {m: int(self.whole(m)[0]) for m in ".,"} if self.pieces else {}
         self._forget()
 
     def _forget(self) -> None:
@@ -84,6 +83,20 @@ class Encoder:
         # Ids of all pieces one after another, where each piece begins and how many it has; the arrays have room to grow.
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        #: How often each piece was asked for, halved whenever others go.
+        self.uses = np.zeros(1 << 14, np.int64)
+
+    def _thin(self) -> None:
+        """Forget the pieces asked for once, and the rarer of the others beyond half of the room."""
+        uses, names = self.uses[: len(self.memo)], list(self.memo)
+        often = np.flatnonzero(uses > 1)
+        often = np.sort(often[np.argsort(-uses[often], kind="stable")[: self.most // 2]])
+        ids, size, uses = self._take(often), self.size[often], uses[often] // 2
+        self._forget()
+        self.memo.update(zip([names[i] for i in often.tolist()], range(len(often)), strict=True))
+        self.begin, self.size, self.uses = (_room(x, len(often)) for x in (self.begin, self.size, self.uses))
+        self._keep(np.arange(len(often)), ids, size)
+        self.uses[: len(often)] = uses
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -98,7 +111,7 @@ class Encoder:
             out = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate([*out, np.zeros(0, np.uint32)]).astype(np.uint32), np.array([len(x) for x in out], np.int64)
         if len(self.memo) > self.most:
-            self._forget()
+            self._thin()
         look = self.memo.__getitem__
         numbers: list[int] = []
         ends, odd = [], {}
@@ -112,6 +125,7 @@ class Encoder:
             ends.append(len(numbers))
         self._learn()
         at = np.array(numbers, np.int64)
+        self._count(at)
         ids, upto = self._take(at), np.concatenate([[0], np.cumsum(self.size[at])])
         bounds = upto[np.array([0, *ends], np.int64)]
         counts = np.diff(bounds)
@@ -122,45 +136,75 @@ class Encoder:
 
     def _learn(self) -> None:
         """Encode the pending pieces, whose numbers end with the last one given."""
-        pending, self.memo.pending = self.memo.pending, []
-        base = len(self.memo) - len(pending)
-        # A word with a mark behind it is the word and then the mark: two pre-tokens in any context.
-        marked = [i for i, p in enumerate(pending) if _MARKED.fullmatch(p)]
-        stems = np.array([self.memo[pending[i][:-1]] for i in marked], np.int64)
-        marks = np.array([self.marks[pending[i][-1]] for i in marked], np.uint32)
-        pending, self.memo.pending = pending + self.memo.pending, []
-        self.begin, self.size = _room(self.begin, len(self.memo)), _room(self.size, len(self.memo))
-        # One that cannot be printed may hold other white space; it is not joined with others, nor are heads and empty ones.
-        plain = np.fromiter((p.isprintable() and p[:1] not in ("", " ") for p in pending), bool, len(pending))
-        whole = np.ones(len(pending), bool)
-        whole[marked] = False
-        alone = np.flatnonzero(~plain & whole).tolist()
-        plain = np.flatnonzero(plain & whole)
-        for j in range(0, len(plain), _JOIN):
-            some = plain[j : j + _JOIN]
-            text = " " + " ".join([pending[i] for i in some.tolist()])
-            ids = self.whole(text)
-            ends = np.cumsum(self.token_bytes[ids])
-            raw = np.frombuffer(text.encode(), np.uint8)
-            want = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
-            cut = np.searchsorted(ends, want)
-            if len(ends) and cut[-1] < len(ends) and np.array_equal(ends[cut], want):
-                self._keep(base + some, ids, np.diff(cut, prepend=-1))
+        pending = self.memo.pending
+        base, look = len(self.memo) - len(pending), self.memo.__getitem__
+        body, heads, alone, made, parts, counts = [], [], [], [], [], []
+        # Word, marks, line end, word and marks are pre-tokens in any context, so many pieces are put together from parts
+        # that others share. Parts not known yet join the list while it is gone through; they have no parts themselves.
+        for i, p in enumerate(pending):
+            if p.isalpha():
+                body.append(i)
+            elif (found := _PARTS.fullmatch(p)) and found.end(1) < len(p):
+                word, marks, after, more = found.groups()
+                had = len(parts)
+                parts.append(look(word))
+                if marks:
+                    parts.append(look(" " + marks))
+                if after:
+                    parts += [look(" \n"), look(" " + after)]
+                    if more:
+                        parts.append(look(" " + more))
+                made.append(i)
+                counts.append(len(parts) - had)
+            # One that cannot be printed may hold other white space; it is not joined with others, nor are empty ones.
+            elif not p.isprintable() or p in ("", " "):
+                alone.append(i)
             else:
-                alone += some.tolist()
+                (heads if p[0] == " " else body).append(i)
+        self.memo.pending = []
+        self.begin, self.size = _room(self.begin, len(self.memo)), _room(self.size, len(self.memo))
+        for these, sep in ((body, " "), (heads, "\n")):
+            for j in range(0, len(these), _JOIN):
+                some = these[j : j + _JOIN]
+                if not self._joined(base + np.array(some), [pending[i] for i in some], sep):
+                    alone += some
         for j in range(0, len(alone), _JOIN):
             some = alone[j : j + _JOIN]
             texts = [pending[i][1:] if pending[i][:1] == " " else " " + pending[i] for i in some]
             lists = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             self._keep(base + np.array(some), np.array(list(itertools.chain.from_iterable(lists)), np.uint32), np.array(list(map(len, lists)), np.int64))
-        if marked:
-            n = self.size[stems]
-            ends = np.cumsum(n + 1)
-            out, place = np.empty(int(ends[-1]), np.uint32), np.ones(int(ends[-1]), bool)
-            place[ends - 1] = False
-            out[place] = self._take(stems)
-            out[~place] = marks
-            self._keep(base + np.array(marked), out, n + 1)
+        if made:
+            at = np.array(parts, np.int64)
+            self._count(at)
+            first = np.cumsum(counts) - counts
+            self._keep(base + np.array(made), self._take(at), np.add.reduceat(self.size[at], first))
+
+    def _joined(self, at: np.ndarray, pieces: list[str], sep: str) -> bool:
+        """Encode printable pieces in one text: with the spaces before them, or heads as lines; False where ids do not end with pieces.
+
+        A line end between two characters that are no white space is a pre-token of its own, one byte and so one id.
+        """
+        text = " " + " ".join(pieces) if sep == " " else "\n".join([p[1:] for p in pieces])
+        ids = self.whole(text)
+        ends = np.cumsum(self.token_bytes[ids])
+        raw = np.frombuffer(text.encode(), np.uint8)
+        want = np.append(np.flatnonzero(raw == ord(sep)), len(raw))[1 if sep == " " else 0 :]
+        cut = np.searchsorted(ends, want)
+        if not (len(ends) and cut[-1] < len(ends) and np.array_equal(ends[cut], want)):
+            return False
+        sizes = np.diff(cut, prepend=-1)
+        if sep != " ":
+            lines = cut[:-1] + 1
+            if not np.array_equal(ends[lines], want[:-1] + 1):
+                return False
+            ids = np.delete(ids, lines)
+            sizes[1:] -= 1
+        self._keep(at, ids, sizes)
+        return True
+
+    def _count(self, at: np.ndarray) -> None:
+        self.uses = _room(self.uses, len(self.memo))
+        self.uses[: len(self.memo)] += np.bincount(at, minlength=len(self.memo))
 
     def _take(self, at: np.ndarray) -> np.ndarray:
         """The ids of numbered pieces, one after another."""

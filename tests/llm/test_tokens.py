@@ -37,6 +37,49 @@ def test_marks_and_lines_equal_library(enc):
     assert np.array_equal(ids, np.concatenate(want))
 
 
+class Told:
+    """The library, with a list of what it was asked to encode."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, []
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += texts
+        return self.library.encode_batch_fast(texts, **how)
+
+
+def letters(r):
+    return "".join(r.choice("abcdeé") for _ in range(8))
+
+
+def test_known_parts_are_not_encoded_again(bpe):
+    """Word, marks, line end and word: the library sees the parts, not each way to put them together."""
+    r = random.Random(5)
+    words = [letters(r) for _ in range(30)]
+    enc = Encoder(bpe)
+    enc.encode_block([" ".join(["x", *words, *(w + m for w in words[:3] for m in (".", "!?", "###"))]), *words])
+    told = enc.library = Told(enc.library)
+    texts = ["x " + " ".join(f"{a}{m}\n{b}{n}" for a, b in zip(words, r.sample(words, 30), strict=True)) for m in (".", "!?", "") for n in ("", ".", "###")]
+    ids, n = enc.encode_block(texts)
+    assert sum(map(len, told.texts)) < 10
+    assert np.array_equal(ids, np.concatenate([enc.whole(t) for t in texts])) and n.sum() == len(ids)
+
+
+def test_frequent_pieces_stay_when_others_go(bpe):
+    r = random.Random(6)
+    often = [letters(r) for _ in range(20)]
+    enc = Encoder(bpe, 60)
+    for k in range(6):
+        told = Told(enc.library)
+        enc.library = told
+        text = "x " + " ".join([*often, *often, *(letters(r) for _ in range(50))])
+        ids, _ = enc.encode_block([text])
+        assert k == 0 or not {x for t in told.texts for x in t.split()} & set(often)
+        enc.library = told.library
+        assert ids.tolist() == enc.whole(text).tolist()
+        assert len(enc.memo) < 60 + 60
+
+
 @pytest.mark.parametrize(("window", "overlap"), [(16, 2), (50, 7), (200, 20)])
 def test_resync_equals_library(enc, window, overlap):
     r = random.Random(1)
