@@ -22,6 +22,8 @@ SPAN = 512
 #: Bytes of text that go into one shard, unless a single document has more.
 SHARD_BYTES = 16 << 20
 END_ID = 0
+#: Positions of a plane that are parted at once, so that they and their ids stay in the cache.
+PART = 1 << 15
 
 
 class WaveletMatrix:
@@ -42,9 +44,23 @@ class WaveletMatrix:
             packed = np.concatenate([packed, np.zeros(-len(packed) % (SPAN // 8), np.uint8)])
             planes.append(packed)
             ranks.append(cls._directory(packed))
-            now = np.concatenate([now.take(np.flatnonzero(~bit)), now.take(np.flatnonzero(bit))])
+            parted = np.empty_like(now)
+            for some, nil, one, low, high in cls._parts(now, bit, len(now) - int(ranks[-1][-1])):
+                parted[low : low + len(nil)] = some.take(nil)
+                parted[high : high + len(one)] = some.take(one)
+            now = parted
         return cls(len(ids), width, planes, ranks)
 
+    @staticmethod
+    def _parts(ids: np.ndarray, bit: np.ndarray, zeros: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+        """Views of ``PART`` ids, the places in each of the bits 0 and 1, and where these two begin in the parted sequence."""
+        low, high = 0, zeros
+        for i in range(0, len(ids), PART):
+            k = bit[i : i + PART]
+            nil, one = np.flatnonzero(~k), np.flatnonzero(k)
+            yield ids[i : i + PART], nil, one, low, high
+            low, high = low + len(nil), high + len(one)
+
     @staticmethod
     def _directory(packed: np.ndarray) -> np.ndarray:
         ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, SPAN // 64).sum(axis=1, dtype=np.int64)
@@ -106,10 +122,10 @@ class WaveletMatrix:
         now = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for level in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], bitorder="little", count=self.n).view(bool)
-            up = np.empty_like(now)
-            z = self.zeros[level]
-            up[np.flatnonzero(~bit)] = now[:z]
-            up[np.flatnonzero(bit)] = now[z:] | now.dtype.type(1 << (self.width - 1 - level))
+            up, value = np.empty_like(now), now.dtype.type(1 << (self.width - 1 - level))
+            for some, nil, one, low, high in self._parts(up, bit, self.zeros[level]):
+                some[nil] = now[low : low + len(nil)]
+                some[one] = now[high : high + len(one)] | value
             now = up
         return now.astype(np.uint32)
 

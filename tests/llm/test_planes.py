@@ -43,3 +43,15 @@ def test_planes_cost_less_than_by_masks():
     assert np.array_equal(back, ids) and np.array_equal(want, ids)
     assert all(np.array_equal(p, q) for p, q in zip(matrix.planes, planes, strict=True))
     assert min(ours) < 0.8 * min(theirs)
+
+
+def test_parts_of_any_size_give_the_same_planes(monkeypatch):
+    r = np.random.default_rng(4)
+    for n in (0, 1, 6, 7, 8, 14, 15, 600):
+        ids = r.integers(0, 50_000, n).astype(np.uint32)
+        want = WaveletMatrix.build(ids)
+        monkeypatch.setattr("lectern.llm.wavelet.PART", 7)
+        got = WaveletMatrix.build(ids)
+        assert all(np.array_equal(p, q) for p, q in zip(got.planes + got.ranks, want.planes + want.ranks, strict=True))
+        assert np.array_equal(got.tokens(), ids)
+        monkeypatch.undo()
