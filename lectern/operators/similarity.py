@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
-from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
@@ -30,6 +28,12 @@ PHRASE_BYTES = 4 << 20
 HEAD_WORDS = 12, 24
 #: Texts that are sketched at once.
 SKETCH_ROWS = 1024
+#: Words whose hashes a worker holds.
+WORD_CODES = 1 << 17
+#: Rows of a key beyond which it is parted by lengths.
+HOT_ROWS = 1024
+#: Pairs that are compared at once by their counts of characters.
+MET_PAIRS = 1 << 16
 #: Rows on either side of a tile of titles.
 TILE_ROWS = 4096
 
@@ -103,31 +107,62 @@ def edit_bound(n: int, least: float) -> int:
     return int(2 * n * (1 - least) / least + 1e-6)
 
 
-def _first_grams(grams: list[str], spoilt: int, mark: bytes) -> list[int]:
-    """The smallest hashes of the grams, repeats counted as different: with ``spoilt`` of them lost one at least remains."""
-    code = lambda g, k: xxhash.xxh3_64_intdigest(mark + k + g.encode("utf-8", "surrogatepass")) - (1 << 63)
-    once = set(grams)
-    hashes = [code(g, b"") for g in once]
-    if len(once) < len(grams):
-        hashes += [code(g, b"%d " % k) for g, n in Counter(grams).items() for k in range(2, n + 1)]
-    return nsmallest(spoilt + 1, hashes)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits of which each depends on all of ``x`` (splitmix64), one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordCodes(dict):
+    """64-bit hashes of words, those of the last :data:`WORD_CODES` new ones held."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORD_CODES:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
+def _runs(codes: np.ndarray, length: int, mark: int) -> np.ndarray:
+    """A hash of each run of ``length`` codes."""
+    n = max(0, len(codes) - length + 1)
+    out = np.full(n, mark, np.uint64)
+    for k in range(length):
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n])
+    return out
 
-def gram_keys(text: str, least: float) -> list[int]:
+
+def _first_grams(grams: np.ndarray, spoilt: int) -> np.ndarray:
+    """The smallest hashes of the grams, repeats counted as different: with ``spoilt`` of them lost one at least remains."""
+    grams = np.sort(grams)
+    place = np.arange(len(grams))
+    fresh = np.ones(len(grams), bool)
+    fresh[1:] = grams[1:] != grams[:-1]
+    if not fresh.all():
+        place -= np.maximum.accumulate(np.where(fresh, place, 0))
+        grams = np.where(fresh, grams, _mixed(grams + place.astype(np.uint64)))
+        grams.sort()
+    return grams[: spoilt + 1]
+
+
+def gram_keys(text: str, least: float, codes: WordCodes | None = None) -> np.ndarray:
     """Keys of which two different texts share one if they are alike to the ratio ``least``.
 
     An edit spoils four runs of three words at most. A text with too few of these for its bound also
     gives runs of eight characters, of which an edit spoils eight; only two such texts need them.
+    Runs are told apart by 64-bit hashes: equal hashes of different runs cost a candidate, and lose none.
     """
     edits = edit_bound(len(text), least)
     if not edits:
-        return []
-    w = text.split()
-    runs = list(map(" ".join, zip(w, w[1:], w[2:], strict=False)))
-    out = _first_grams(runs, 4 * edits, b"w")
+        return np.empty(0, np.int64)
+    codes = WordCodes() if codes is None else codes
+    words = text.split()
+    runs = _runs(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)), 3, 1)
+    out = _first_grams(runs, 4 * edits)
     if len(runs) <= 4 * edits:
-        out += _first_grams([text[i : i + 8] for i in range(len(text) - 7)], 8 * edits, b"c")
-    return out
+        out = np.concatenate([out, _first_grams(_runs(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 8, 2), 8 * edits)])
+    return out.view(np.int64)
 
 
 def plain_text(text: str | None) -> str:
@@ -138,25 +173,27 @@ def plain_text(text: str | None) -> str:
 
 def text_sketches(docs: DataFrame, least: float) -> DataFrame:
     """``doc_id, lang, digest, n, keys, bag`` of documents with text: hash and length of the normalised text, its
-    :func:`gram_keys` and counts of its characters in 32 groups. One pass; only these are moved later."""
+    :func:`gram_keys` and counts of its characters in 32 groups, a byte each, of which only the lowest 8 bits are held.
+    One pass; only these are moved later."""
     ship(docs.sparkSession)
     rows = docs.select("doc_id", "lang", "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
         for b in (b.slice(k, SKETCH_ROWS) for b in batches for k in range(0, b.num_rows, SKETCH_ROWS)):
             at, out = [], []
             for k, t in enumerate(map(plain_text, b.column(2).to_pylist())):
                 if t:
                     raw = t.encode("utf-32-le", "surrogatepass")
                     at.append(k)
-                    out.append((xxhash.xxh3_128_digest(raw), len(t), gram_keys(t, least), np.bincount(np.frombuffer(raw, np.uint32) & 31, minlength=32)))
+                    out.append((xxhash.xxh3_128_digest(raw), len(t), gram_keys(t, least, codes), np.bincount(np.frombuffer(raw, np.uint32) & 31, minlength=32).astype(np.uint8).tobytes()))
             digest, n, keys, bag = zip(*out, strict=True) if out else ((), (), (), ())
             own = [b.column(i).take(pa.array(at, pa.int64())) for i in range(2)]
-            made = [pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bag, pa.list_(pa.int32()))]
+            made = [pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bag, pa.binary())]
             yield pa.RecordBatch.from_arrays([*own, *made], names=["doc_id", "lang", "digest", "n", "keys", "bag"])
 
     # A function over batches runs once a row; as a column it ran again in the filter that the optimizer moved before it.
-    made = T.StructType.fromDDL("digest binary, n int, keys array<long>, bag array<int>")
+    made = T.StructType.fromDDL("digest binary, n int, keys array<long>, bag binary")
     return rows.mapInArrow(sketch, T.StructType([*rows.schema.fields[:2], *made.fields]))
 
 
@@ -167,23 +204,161 @@ def _kept(df: DataFrame) -> DataFrame:
     return df
 
 
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, doc_id, hot`` of rows sorted by key, for keys that more than one row has; hot: more than :data:`HOT_ROWS` have it."""
+    keys, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+    held = 0  # rows of the first key that have been given out
+
+    def told(k: int, last: bool) -> pa.RecordBatch:
+        """The first k rows, which end with a key unless the rest of it is hot too."""
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:k] != keys[: k - 1]]))
+        size = np.diff(np.append(starts, k))
+        size[0] += held
+        if not last:
+            size[-1] = HOT_ROWS + 1
+        size = np.repeat(size, np.diff(np.append(starts, k)))
+        some = size > 1
+        return pa.RecordBatch.from_arrays([pa.array(keys[:k][some]), pa.array(ids[:k][some]), pa.array(size[some] > HOT_ROWS)], names=["key", "doc_id", "hot"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, ids = np.concatenate([keys, b.column(0).to_numpy()]), np.concatenate([ids, b.column(1).to_numpy()])
+        if held and keys[0] != last_key:
+            held = 0
+        open_at = int(np.searchsorted(keys, keys[-1]))
+        if open_at:
+            yield told(open_at, True)
+            keys, ids, held = keys[open_at:], ids[open_at:], 0
+        if held + len(keys) > HOT_ROWS:
+            yield told(len(keys), False)
+            held, last_key, keys, ids = HOT_ROWS, keys[-1], keys[:0], ids[:0]
+    if len(keys):
+        yield told(len(keys), True)
+
+
+def _met(least: float, delta: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From ``key, band, n, doc_id, bag`` sorted by the first three: ``left_id, right_id`` that have a key and band in
+    common and that lengths and counts of characters leave."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 32), np.uint8)]
+        found: list[np.ndarray] = []
+
+        def given() -> pa.RecordBatch:
+            out = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["left_id", "right_id"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            old = len(parts[0])
+            bag = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, 32)
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy(), bag]
+            key, band, n, ids, bags = parts = [np.concatenate(x) for x in zip(parts, new, strict=True)]
+            run = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (band[1:] != band[:-1]))]) << 32
+            most = np.minimum(delta, (1 - least) * 2 * n + 1e-6).astype(np.int64)  # n is that of the longer text
+            low = np.searchsorted(run + n, run + n - np.minimum(most, n))
+            at = np.arange(old, len(n))
+            count = at - low[old:]
+            ends = np.cumsum(count)
+            first = 0
+            while first < len(at):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + MET_PAIRS, "right")))
+                c = count[first:last]
+                j = np.repeat(at[first:last], c)
+                i = np.arange(len(j)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[at[first:last]], c)
+                # Of counts only the lowest 8 bits are known: the difference is this at least.
+                apart = np.abs((bags[i] - bags[j]).view(np.int8).astype(np.int16)).sum(1)
+                some = (apart <= (1 - least) * (n[i] + n[j]) + 1e-6) & (ids[i] != ids[j])
+                if some.any():
+                    x, y = ids[i[some]], ids[j[some]]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                first = last
+            if sum(map(len, found)) >= MET_PAIRS:
+                yield given()
+            reach = run[-1] + n[-1] - min(delta, n[-1])
+            keep = int(np.searchsorted(run + n, reach))
+            parts = [x[keep:] for x in parts]
+        if found:
+            yield given()
+
+    return pairs
+
+
 def edits_pairs(classes: DataFrame, least: float, delta: int = 64) -> DataFrame:
-    """``left_id, right_id``: all pairs of one language that can be alike to ``least``, by shared keys, lengths and counts of characters."""
-    band = F.floor(F.col("n") / (delta + 1))
-    keys = classes.where("lang IS NOT NULL").select("doc_id", "lang", "keys", F.explode(F.array(band, band + 1)).alias("band"))
-    keys = keys.select("doc_id", "lang", "band", F.explode("keys").alias("key")).select("doc_id", F.xxhash64("lang", "band", "key").alias("key"))
-    pairs = keys.withColumnRenamed("doc_id", "left_id").join(keys.withColumnRenamed("doc_id", "right_id"), "key").where("left_id < right_id").select("left_id", "right_id").distinct()
-    side = lambda x: classes.select(F.col("doc_id").alias(f"{x}_id"), F.col("lang").alias(f"{x}_lang"), F.col("n").alias(f"{x}_n"), F.col("bag").alias(f"{x}_bag"))
-    pairs = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
-    most = (1 - least) * (F.col("left_n") + F.col("right_n")) + 1e-6
-    apart = F.aggregate(F.zip_with("left_bag", "right_bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    return pairs.where((F.col("left_lang") == F.col("right_lang")) & (F.abs(F.col("left_n") - F.col("right_n")) <= delta) & (apart <= most)).select("left_id", "right_id")
+    """``left_id, right_id``: all pairs of one language that can be alike to ``least``, by shared keys, lengths and counts of characters.
 
+    Most keys are those of one text alone: the others are found from keys and ids, before lengths and counts go with
+    them, so that a pair is judged where its key is and leaves only if it can be alike. Frequent keys are parted by
+    bands of lengths.
+    """
+    keys = classes.where("lang IS NOT NULL").select("doc_id", "lang", F.explode("keys").alias("key")).select(F.xxhash64("lang", "key").alias("key"), "doc_id")
+    keys = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_several, "key long, doc_id long, hot boolean")
+    band = F.floor(F.col("n") / (delta + 1)).cast("int")
+    bands = F.when(F.col("hot"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))
+    rows = keys.join(classes.select("doc_id", "n", "bag"), "doc_id").select("key", F.explode(bands).alias("band"), "n", "doc_id", "bag")
+    return rows.repartition("key", "band").sortWithinPartitions("key", "band", "n").mapInArrow(_met(least, delta), "left_id long, right_id long").distinct()
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether ``most`` insertions and deletions lead from one to the other (Myers: for each count of edits and diagonal
+    the furthest point, of the diagonals from which the end can still be reached)."""
+    m, n = len(a), len(b)
+    aim = m - n
+    if abs(aim) > most:
+        return False
+    far = {1: 0}
+    for d in range(most + 1):
+        left = most - d
+        low, high = max(-d, aim - left, d - 2 * n), min(d, aim + left, 2 * m - d)
+        for k in range(low + (low + d & 1), high + 1, 2):
+            down, right = far.get(k + 1, -1), far.get(k - 1, -2) + 1
+            x = down if down >= right else right
+            y = x - k
+            if x < 0 or x > m or y > n:
+                continue
+            if x < m and y < n and a[x] == b[y]:
+                step = 8
+                while a[x : x + step] == b[y : y + step] and x + step <= m and y + step <= n:
+                    x, y, step = x + step, y + step, 2 * step
+                while step:
+                    if x + step <= m and y + step <= n and a[x : x + step] == b[y : y + step]:
+                        x, y = x + step, y + step
+                    step //= 2
+            if x >= m and y >= n:
+                return True
+            far[k] = x
+    return False
+
+
+def _matched(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From ``left_id, right_id, a, b``: ``left_id, right_id, ratio`` of the normalised texts (Ratcliff-Obershelp), where it is ``least`` at least.
+
+    The longest common subsequence rules most others out before.
+    """
 
-@F.pandas_udf(T.DoubleType())
-def matcher_ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp of the normalised texts, or null where the longest common subsequence already rules the least ratio out."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if indel(x, y) >= z else None for x, y, z in zip(map(plain_text, a), map(plain_text, b), least, strict=True)], dtype="float64")
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, last, right, held = SequenceMatcher(None, "", ""), "", "", True
+        for batch in batches:
+            at, out = [], []
+            for k, (x, y) in enumerate(zip(map(plain_text, batch.column(2).to_pylist()), batch.column(3).to_pylist(), strict=True)):
+                if y != last:
+                    last, right, held = y, plain_text(y), False
+                if not within(x, right, int((1 - least) * (len(x) + len(right)) + 1e-6)):
+                    continue
+                if not held:  # what is known of the right text serves all its pairs
+                    matcher.set_seq2(right)
+                    held = True
+                matcher.set_seq1(x)
+                if (ratio := matcher.ratio()) >= least:
+                    at.append(k)
+                    out.append(ratio)
+            own = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.float64())], names=["left_id", "right_id", "ratio"])
+
+    return ratios
 
 
 def near_pairs(docs: DataFrame, least: float = 0.995, delta: int = 64) -> DataFrame:
@@ -199,9 +374,11 @@ def near_pairs(docs: DataFrame, least: float = 0.995, delta: int = 64) -> DataFr
     copies = sketches.select("doc_id", "lang", "digest").join(several, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("digest") == F.col("_digest"))).where("doc_id != left_id")
     pairs = _kept(edits_pairs(classes, least, delta))
     asked = pairs.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).distinct()
-    rows = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi")
-    pairs = pairs.join(rows.select(F.col("doc_id").alias("left_id"), F.col("text").alias("a")), "left_id").join(rows.select(F.col("doc_id").alias("right_id"), F.col("text").alias("b")), "right_id")
-    found = pairs.select("left_id", "right_id", matcher_ratio_from("a", "b", F.lit(least)).alias("ratio")).where(F.col("ratio") >= least)
+    rows = docs.select("doc_id", "lang", "text").join(asked, "doc_id", "left_semi")
+    side = lambda x, t: rows.select(F.col("doc_id").alias(f"{x}_id"), F.col("lang").alias(f"{x}_lang"), F.col("text").alias(t))
+    pairs = pairs.join(side("left", "a"), "left_id").join(side("right", "b"), "right_id").where("left_lang = right_lang").select("left_id", "right_id", "a", "b")
+    # A function over batches judges a pair once; as a column it ran again for those that its own filter left.
+    found = pairs.mapInArrow(_matched(least), T.StructType([*pairs.schema.fields[:2], T.StructField("ratio", T.DoubleType())]))
     return found.unionByName(copies.select("left_id", F.col("doc_id").alias("right_id"), F.lit(1.0).alias("ratio")))
 
 
