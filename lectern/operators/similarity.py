@@ -32,6 +32,8 @@ SKETCH_ROWS = 1024
 WORD_CODES = 1 << 17
 #: Rows of a key beyond which it is parted by lengths.
 HOT_ROWS = 1024
+#: Slots of a bitmap for each member, and most slots (32 MB), whole numbers of 32,768-slot buckets.
+MEMBER_SLOTS, MOST_SLOTS = 16, 1 << 28
 #: Pairs that are compared at once by their counts of characters.
 MET_PAIRS = 1 << 16
 #: Rows on either side of a tile of titles.
@@ -333,6 +335,20 @@ def within(a: str, b: str, most: int) -> bool:
     return False
 
 
+def _asked(rows: DataFrame, ids: DataFrame, members: int) -> DataFrame:
+    """All rows whose ``doc_id`` is among ``ids``, of which there are ``members`` at most, and the few others that share a slot of a bitmap with one.
+
+    They are found where they are; the exact join is left to the reader (a semi join here would be moved before the bitmap).
+    """
+    slots = min(MOST_SLOTS, -(-max(1, members) * MEMBER_SLOTS // 32768) * 32768)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("long")
+    bits = ids.select(slot.alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
+    place = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = rows.withColumn("_slot", slot).join(F.broadcast(bits), F.bitmap_bucket_number("_slot") == F.col("_bucket")).where(F.getbit(byte, (place % 8).cast("int")) == 1)
+    return maybe.select(*rows.columns)
+
+
 def _matched(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From ``left_id, right_id, a, b``: ``left_id, right_id, ratio`` of the normalised texts (Ratcliff-Obershelp), where it is ``least`` at least.
 
@@ -373,8 +389,8 @@ def near_pairs(docs: DataFrame, least: float = 0.995, delta: int = 64) -> DataFr
     several = classes.where("copies > 1").select(F.col("lang").alias("_lang"), F.col("digest").alias("_digest"), F.col("doc_id").alias("left_id"))
     copies = sketches.select("doc_id", "lang", "digest").join(several, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("digest") == F.col("_digest"))).where("doc_id != left_id")
     pairs = _kept(edits_pairs(classes, least, delta))
-    asked = pairs.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).distinct()
-    rows = docs.select("doc_id", "lang", "text").join(asked, "doc_id", "left_semi")
+    asked = pairs.select(F.explode(F.array("left_id", "right_id")).alias("doc_id"))
+    rows = _asked(docs.select("doc_id", "lang", "text"), asked, 2 * pairs.count())
     side = lambda x, t: rows.select(F.col("doc_id").alias(f"{x}_id"), F.col("lang").alias(f"{x}_lang"), F.col("text").alias(t))
     pairs = pairs.join(side("left", "a"), "left_id").join(side("right", "b"), "right_id").where("left_lang = right_lang").select("left_id", "right_id", "a", "b")
     # A function over batches judges a pair once; as a column it ran again for those that its own filter left.

@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lectern.operators import similarity
 
@@ -96,3 +97,29 @@ def test_within():
         b = "".join(r.choice(["", c, c + "b"]) if r.random() < 0.1 else c for c in a) if r.random() < 0.8 else a[::-1]
         edits = round((1 - similarity.indel(a, b)) * (len(a) + len(b)))
         assert all(similarity.within(a, b, most) == (edits <= most) for most in {0, edits - 1, edits, edits + 1, edits + 9} if most >= 0)
+
+
+def test_texts_of_no_pair_stay_where_they_are(spark):
+    rows = spark.range(0, 40000, 1, 4).selectExpr("id AS doc_id", "'en' AS lang", "repeat(id, 3) AS text")
+    ids = rows.select("doc_id").where("doc_id % 100 = 7")
+    got = {r.doc_id for r in similarity._asked(rows, ids, 400).collect()}
+    assert got >= set(range(7, 40000, 100)) and len(got) < 2000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = rows.withColumn("text", F.expr("CASE WHEN doc_id < 20 THEN repeat('the same words ', 40) || doc_id ELSE text END"))
+        pairs = similarity.near_pairs(docs)
+        assert pairs.where("ratio < 1").count() == 190
+        plan = pairs.where("ratio < 1").select("left_id")
+        assert plan.collect() and moved(plan._jdf.queryExecution().executedPlan()) < 90000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.catalog.clearCache()
+
+
+def moved(plan):
+    """Rows that all shuffles of an executed plan write."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return moved(plan.executedPlan())
+    inner = [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return sum(map(moved, inner)) + (plan.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0)
